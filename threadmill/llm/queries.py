@@ -7,6 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadmill.llm.abuse import abuse_rates, score_abuse, train_on_reviews
+from threadmill.llm.chunking import split_texts
+from threadmill.llm.mixing import mix_sources
+from threadmill.llm.overlap import cross_split_overlaps, overlap_pairs
+from threadmill.llm.packing import pack_documents
+from threadmill.llm.pii import mask_personal, mentions
 from threadmill.llm.records import collapsed_records, same_records
 from threadmill.llm.splits import assign_splits
 from threadmill.runtime import read_table, write_shared
@@ -23,6 +29,22 @@ def p1_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapsed_records(read_table(spark, sf_dir, "demo_sample"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mentions(mask_personal(read_table(spark, sf_dir, "demo_sample")))
+    return found.select(F.col("id").alias("sample_id"), "field", "kind").distinct()
+
+
+def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask_personal(read_table(spark, sf_dir, "demo_sample")).withColumnRenamed("id", "sample_id")
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mentions(mask_personal(read_table(spark, sf_dir, "demo_sample")))
+    return found.groupBy("field", "kind").agg(
+        F.count_distinct("id").alias("n_rows"), F.sum("n").alias("n_mentions")
+    )
+
+
 def _split_targets(spark: SparkSession, sf_dir: str) -> list[tuple[str, float]]:
     """The rows of split_target, a table of one row for each split."""
     rows = read_table(spark, sf_dir, "split_target").orderBy(F.desc("target_share"), "split")
@@ -64,12 +86,142 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = overlap_pairs(*cross_split_overlaps(read_table(spark, sf_dir, "demo_sample")))
+    return pairs.select(
+        F.least("eval_id", "train_id").alias("id_a"),
+        F.greatest("eval_id", "train_id").alias("id_b"),
+        "field",
+    ).distinct()
+
+
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between classes of equal texts, each named by its smallest id."""
+    members, links = cross_split_overlaps(read_table(spark, sf_dir, "demo_sample"))
+    heads = members.groupBy("class").agg(F.min("id").alias("head"))
+    return (
+        links.join(heads.select(F.col("class").alias("eval_class"), F.col("head").alias("eval_head")), "eval_class")
+        .join(heads.select(F.col("class").alias("train_class"), F.col("head").alias("train_head")), "train_class")
+        .select("eval_head", "train_head", "field", "edits")
+    )
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation rows that overlap the training rows, by split, community and field."""
+    demo = read_table(spark, sf_dir, "demo_sample")
+    members, links = cross_split_overlaps(demo)
+    best = links.groupBy("eval_class", "field").agg(F.min("edits").alias("edits"))
+    found = members.where("not is_train").join(
+        best.withColumnRenamed("eval_class", "class"), ["class", "field"]
+    )
+    rows = demo.select(
+        F.col("sample_id").alias("id"), "split", F.lower(F.trim("subreddit")).alias("subreddit")
+    )
+    return (
+        found.join(rows, "id")
+        .groupBy("split", "subreddit", "field")
+        .agg(F.count_if(F.col("edits") == 0).alias("n_same"), F.count_if(F.col("edits") > 0).alias("n_near"))
+    )
+
+
+def _p5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    demo = read_table(spark, sf_dir, "demo_sample")
+    return score_abuse(demo, train_on_reviews(demo, read_table(spark, sf_dir, "review_label")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p5(spark, sf_dir).where("abusive").select(F.col("id").alias("sample_id")).distinct()
+
+
+def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p5(spark, sf_dir).select(F.col("id").alias("sample_id"), "lang", "score", "abusive")
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse_rates(_p5(spark, sf_dir)).withColumnRenamed("source", "subreddit")
+
+
+def _size_limit(spark: SparkSession, sf_dir: str, purpose: str) -> tuple[int, int]:
+    row = read_table(spark, sf_dir, "size_limit").where(F.col("purpose") == purpose).first()
+    return row.max_tokens, row.overlap_tokens or 0
+
+
+def _p6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity, _ = _size_limit(spark, sf_dir, "container")
+    return pack_documents(read_table(spark, sf_dir, "documents"), capacity)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p6(spark, sf_dir).where("pieces > 1").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p6(spark, sf_dir).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity, _ = _size_limit(spark, sf_dir, "container")
+    boxes = _p6(spark, sf_dir).where("container is not null").groupBy("container").agg(
+        F.sum("tokens").alias("tokens"), F.count("*").alias("items")
+    )
+    return boxes.agg(
+        F.count("*").alias("containers"),
+        F.sum("items").alias("items"),
+        F.max("tokens").alias("fullest"),
+        (F.sum("tokens") / (F.count("*") * F.lit(capacity))).alias("filled"),
+    )
+
+
+def _p7(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_target"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p7(spark, sf_dir)[1].where("short").select("source")
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p7(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p7(spark, sf_dir)[1]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = p8_pieces(spark, sf_dir)
+    return pieces.where("piece = 0 and pieces > 1").select("doc_id").distinct()
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit, overlap = _size_limit(spark, sf_dir, "piece")
+    pieces = split_texts(read_table(spark, sf_dir, "documents"), limit, overlap)
+    return pieces.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_copies": p1_copies,
+    "p2_found": p2_found,
+    "p2_masked": p2_masked,
+    "p2_counts": p2_counts,
     "p3_found": p3_found,
     "p3_splits": p3_splits,
     "p3_shares": p3_shares,
+    "p4_found": p4_found,
+    "p4_links": p4_links,
+    "p4_report": p4_report,
+    "p5_found": p5_found,
+    "p5_scores": p5_scores,
+    "p5_rates": p5_rates,
+    "p6_found": p6_found,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_pieces": p8_pieces,
 }
 
 _LETTERS = r"replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g'), 'ß', 'ss')"
@@ -92,6 +244,11 @@ hop2 AS (SELECT *, CASE WHEN fields IS NULL THEN f1
                         ELSE min(f1) OVER (PARTITION BY fields) END AS f2 FROM hop1),
 same AS (SELECT sample_id, min(f2) OVER (PARTITION BY flat) AS first_id FROM hop2)"""
 
+#: Tokens of documents.text; the gaps between them are white space.
+_SIZE = (
+    r"coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{1c}-\x{1f}\x{85}]+')), 0)"
+)
+
 ORACLES: dict[str, str] = {
     "p1_found": f"WITH {_SAME} SELECT DISTINCT first_id, sample_id AS copy_id FROM same "
     "WHERE first_id <> sample_id",
@@ -115,4 +272,13 @@ reach AS (
   UNION SELECT r.node, e.v FROM reach r JOIN edges e ON r.seen = e.u),
 roots AS (SELECT node, min(seen) AS first_id FROM reach GROUP BY node)
 SELECT first_id, node AS member_id FROM roots WHERE first_id <> node""",
+    "p6_found": f"""SELECT DISTINCT doc_id FROM documents
+WHERE {_SIZE} > (SELECT max_tokens FROM size_limit WHERE purpose = 'container')""",
+    "p7_found": f"""WITH sized AS (
+  SELECT source, sum({_SIZE}) AS tokens FROM documents
+  WHERE source IN (SELECT source FROM mix_target) GROUP BY source)
+SELECT t.source FROM mix_target t LEFT JOIN sized s ON t.source = s.source
+WHERE coalesce(s.tokens, 0) * t.max_repeat < t.target_weight * (SELECT sum(tokens) FROM sized)""",
+    "p8_found": f"""SELECT DISTINCT doc_id FROM documents
+WHERE {_SIZE} > (SELECT max_tokens FROM size_limit WHERE purpose = 'piece')""",
 }
