@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from threadmill.plans import (  # noqa: F401 - each registers its queries
+    comment_queries,
+    history_queries,
+    join_queries,
+    metric_queries,
+    prompt_queries,
+    sampling_queries,
+    source_queries,
+    text_queries,
+)
+from threadmill.plans.metric_queries import flagship
+from threadmill.plans.registry import ORACLES, QUERIES
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship"]
