@@ -12,6 +12,7 @@ refutes most other matches; a banded dynamic program decides the rest.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.llm.canonical import MIN_LETTERS, field_list
+from threadmill.llm.canonical import FIELD_BREAK, MIN_LETTERS
 from threadmill.runtime import task_count, write_shared
 
 #: Edits allowed for each word of the longer text.
 MAX_RATIO = 0.2
 #: Cells of the count sketch of training segments, fixed: 4 MB.
 SKETCH_BITS = 20
-#: Bits of the filter of evaluation segments: 16 for each segment, within these.
+#: Bits of the filter of places of evaluation segments: 64 for each segment, within these.
 FILTER_BITS = (20, 27)
 #: Words above which the signature has 256 bits instead of 128.
 LONG_TEXT = 80
@@ -66,7 +67,8 @@ def gram_keys(hashes: np.ndarray, size: int, field: np.ndarray | int) -> np.ndar
             key = (key ^ (x >> np.uint64(29)) ^ x) * np.uint64(0xFF51AFD7ED558CCD)
         key += np.asarray(field, np.uint64)[..., :n] if np.ndim(field) else np.uint64(field)
         key = (key + np.uint64(size)) * np.uint64(0xC4CEB9FE1A85EC53)
-        return key ^ (key >> np.uint64(32))
+        # 40 bits: a collision makes a candidate more, and short keys move cheaply.
+        return (key ^ (key >> np.uint64(32))) & np.uint64((1 << 40) - 1)
 
 
 def signatures(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -213,6 +215,50 @@ _SEGMENT = (
 _SEGMENT_COLUMNS = [c.split()[0] for c in _SEGMENT.split(", ")]
 
 
+def place_buckets(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coarse position and length: steps of eight words, and of a fifth of the length."""
+    return at >> 3, np.floor(np.log(np.maximum(n, 1)) / np.log(1.2)).astype(np.int64)
+
+
+def place_keys(key: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = key.astype(np.uint64) + (at.astype(np.uint64) * np.uint64(1_000_003)) + (
+            length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        )
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return x ^ (x >> np.uint64(33))
+
+
+def _mark_places(bits: int):
+    """Filter bits of the places where a training text may hold a segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, at, n, rank = (batch.column(i).to_numpy() for i in range(4))
+            marks = []
+            # Lengths that can be within the edits allowed, and the shifts they allow.
+            shortest, longest = n - n // 5, n + n // 4
+            _, low = place_buckets(at, shortest)
+            _, high = place_buckets(at, longest)
+            reach = (longest // 5 + np.maximum(longest - n, n - shortest) + 1) // 2
+            first, last = np.maximum(at - reach, 0) >> 3, (at + reach) >> 3
+            for d in range(int((high - low).max(initial=0)) + 1):
+                for e in range(int((last - first).max(initial=0)) + 1):
+                    ok = (low + d <= high) & (first + e <= last)
+                    marks.append(place_keys(key[ok], first[ok] + e, low[ok] + d))
+            slot = np.unique(np.concatenate(marks) & np.uint64((1 << bits) - 1)) if marks else np.zeros(0, np.uint64)
+            word = (slot >> np.uint64(6)).astype(np.int32)
+            if not len(word):
+                continue
+            starts = np.concatenate([[0], np.nonzero(np.diff(word))[0] + 1])
+            mark = np.bitwise_or.reduceat(np.uint64(1) << (slot & np.uint64(63)), starts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(word[starts]), pa.array(mark.view(np.int64))], ["word", "mark"]
+            )
+
+    return run
+
+
 def _match_grams(filter_words, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh, words = _Fresh(), np.frombuffer(filter_words.value, np.uint64)
@@ -223,6 +269,7 @@ def _match_grams(filter_words, bits: int):
             ids = batch.column(0).to_numpy()
             offsets, hashes = encode_words(batch.column(2))
             lengths = np.diff(offsets)
+            sig = signatures(offsets, hashes)
             salt = np.repeat(batch.column(1).to_numpy(), lengths)
             for size in (2, 3):
                 start, row = _positions(offsets, size)
@@ -231,30 +278,33 @@ def _match_grams(filter_words, bits: int):
                 ok = (lengths[row] >= low) & (lengths[row] <= high)
                 start, row = start[ok], row[ok]
                 key = gram_keys(hashes, size, salt)[start]
-                slot = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+                at = start - offsets[row]
+                place = place_keys(key, *place_buckets(at, lengths[row]))
+                slot = (place & np.uint64((1 << bits) - 1)).astype(np.int64)
                 hit = (words[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
-                start, row, key = start[hit], row[hit], key[hit]
+                at, row, key = at[hit], row[hit], key[hit]
                 cols = [
                     pa.array(key.view(np.int64)),
                     pa.array(ids[row]),
-                    pa.array((start - offsets[row]).astype(np.int32)),
+                    pa.array(at.astype(np.int32)),
                     pa.array(lengths[row].astype(np.int32)),
+                    *[pa.array(sig[row, j]) for j in range(4)],
                 ]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "train_class", "train_at", "m"])
+                yield pa.RecordBatch.from_arrays(cols, _GRAM_COLUMNS)
 
     return run
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_GRAM = "key long, train_class long, train_at int, m int, t0 long, t1 long, t2 long, t3 long"
+_GRAM_COLUMNS = [c.split()[0] for c in _GRAM.split(", ")]
+
+
+def _train_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fresh = _Fresh()
     for batch in batches:
         batch = fresh(batch)
-        if not batch.num_rows:
-            continue
-        sig = signatures(*encode_words(batch.column(2)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), *[pa.array(sig[:, j]) for j in range(4)]],
-            ["train_class", "train_words", "t0", "t1", "t2", "t3"],
+            [batch.column(0), batch.column(2)], ["train_class", "train_words"]
         )
 
 
@@ -312,13 +362,33 @@ def _padded(offsets: np.ndarray, hashes: np.ndarray, rows: np.ndarray, width: in
     return out
 
 
+def bag_distance(left, right, buckets: int = 1024, block: int = 256) -> np.ndarray:
+    """A lower bound of the edit distances: the larger surplus of words of either side."""
+    pairs = len(left[0]) - 1
+    out = np.zeros(pairs, np.int64)
+    for lo in range(0, pairs, block):
+        hi = min(lo + block, pairs)
+        diff = np.zeros((hi - lo) * buckets, np.int64)
+        for (offsets, hashes), sign in ((left, 1), (right, -1)):
+            part = hashes[offsets[lo] : offsets[hi]]
+            row = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
+            slot = row * buckets + ((part >> np.uint64(17)).astype(np.int64) & (buckets - 1))
+            diff += sign * np.bincount(slot, minlength=len(diff))
+        diff = diff.reshape(hi - lo, buckets)
+        out[lo:hi] = np.maximum(np.maximum(diff, 0).sum(axis=1), np.maximum(-diff, 0).sum(axis=1))
+    return out
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = (encode_words(batch.column(i)) for i in (2, 3))
         n, m = np.diff(left[0]), np.diff(right[0])
         allowed = edits_allowed(n, m)
         distance = np.full(len(n), 1 << 20, np.int32)
-        order = np.argsort(n, kind="stable")
+        # Words without a partner in the other text are edits; only pairs with
+        # few enough of them are worth a table.
+        hope = np.nonzero(bag_distance(left, right) <= allowed)[0]
+        order = hope[np.argsort(n[hope], kind="stable")]
         for lo in range(0, len(order), 128):
             rows = order[lo : lo + 128]
             band = int(allowed[rows].max(initial=0))
@@ -345,29 +415,78 @@ def _unlike(ours: str, theirs: str) -> Column:
     return F.when((F.col("n") > LONG_TEXT) & (F.col("m") > LONG_TEXT), full).otherwise(half)
 
 
+_WORD = re.compile(r"[^\W_]+")
+_BREAK = re.compile(FIELD_BREAK)
+_TEXT = "class long, field int, words string, id long, is_train boolean, listed long"
+_TEXT_COLUMNS = [c.split()[0] for c in _TEXT.split(", ")]
+
+
+def listed_fields(text: str) -> str | None:
+    """What :func:`canonical.field_list` does, joined, for one text in a Python worker."""
+    if ":" not in text:
+        return None
+    fields = []
+    for piece in _BREAK.split(text):
+        words = _WORD.findall(piece.lower().replace("ß", "ss"))
+        if not words:
+            continue
+        label, colon, value = piece.partition(":")
+        if not colon or not _WORD.search(label) or not _WORD.search(value):
+            return None
+        fields.append("".join(words))
+    return " ".join(sorted(fields)) if len(fields) > 1 else None
+
+
+def _read_texts(train: str, tests: list[str], count: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, roles = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for field in range(count):
+                words, flat, listed, who, side = [], [], [], [], []
+                for i, role, text in zip(ids, roles, batch.column(2 + field).to_pylist(), strict=True):
+                    if not text or len(text) < MIN_LETTERS:
+                        continue
+                    found = _WORD.findall(text.lower().replace("ß", "ss"))
+                    joined = "".join(found)
+                    if len(joined) < MIN_LETTERS:
+                        continue
+                    words.append(" ".join(found))
+                    flat.append(f"{field} {joined}")
+                    fields = listed_fields(text)
+                    listed.append(None if fields is None else f"{field} fields {fields}")
+                    who.append(i)
+                    side.append(role == train)
+                hashed = [h is not None for h in listed]
+                lists = np.zeros(len(listed), np.int64)
+                if any(hashed):
+                    lists[hashed] = _hash64([h for h in listed if h is not None])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(_hash64(flat)),
+                        pa.array(np.full(len(words), field, np.int32)),
+                        pa.array(words, pa.string()),
+                        pa.array(who, pa.int64()),
+                        pa.array(side, pa.bool_()),
+                        pa.array(lists, mask=~np.array(hashed, bool)),
+                    ],
+                    _TEXT_COLUMNS,
+                )
+
+    return run
+
+
+def _hash64(texts: list[str]) -> np.ndarray:
+    if not texts:
+        return np.zeros(0, np.int64)
+    return pd.util.hash_array(np.array(texts, object), categorize=False).view(np.int64)
+
+
 def _texts(df: DataFrame, fields: list[str], id_col: str, split_col: str, train: str, tests: list[str]):
     role = F.lower(F.trim(F.col(split_col)))
-    each = F.inline(
-        F.array(*[F.struct(F.lit(i).alias("field"), F.col(c).alias("text")) for i, c in enumerate(fields)])
-    )
-    rows = (
-        df.select(F.col(id_col).cast("long").alias("id"), role.alias("role"), *fields)
-        .where(F.col("id").isNotNull() & F.col("role").isin(train, *tests))
-        .select("id", (F.col("role") == train).alias("is_train"), each)
-        .where(F.length("text") >= MIN_LETTERS)
-    )
-    words = F.trim(F.replace(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "), F.lit("ß"), F.lit("ss")))
-    rows = rows.withColumn("words", words)
-    flat = F.replace("words", F.lit(" "), F.lit(""))
-    listed = F.array_join(field_list(F.col("text")), " ")
-    return rows.where(F.length(flat) >= MIN_LETTERS).select(
-        F.xxhash64("field", flat).alias("class"),
-        "field",
-        "words",
-        "id",
-        "is_train",
-        F.when(listed.isNotNull(), F.xxhash64("field", F.lit("fields"), listed)).alias("listed"),
-    )
+    rows = df.select(
+        F.col(id_col).cast("long").alias("id"), role.alias("role"), *[F.col(f) for f in fields]
+    ).where(F.col("id").isNotNull() & F.col("role").isin(train, *tests))
+    return rows.mapInArrow(_read_texts(train, tests, len(fields)), _TEXT)
 
 
 def near_classes(texts: DataFrame) -> DataFrame:
@@ -392,12 +511,10 @@ def near_classes(texts: DataFrame) -> DataFrame:
     sketch = context.broadcast(cells or bytes(4 << SKETCH_BITS))
     segments = write_shared(evals.mapInArrow(_cut_segments(sketch, SKETCH_BITS), _SEGMENT), "segments")
     count = segments.count()
-    bits = min(max(FILTER_BITS[0], int(max(count, 1) * 16).bit_length()), FILTER_BITS[1])
+    bits = min(max(FILTER_BITS[0], int(max(count, 1) * 64).bit_length()), FILTER_BITS[1])
     marks = (
-        segments.selectExpr(
-            f"CAST((key & {(1 << bits) - 1}) >> 6 AS INT) AS word",
-            "shiftleft(1L, CAST(key & 63 AS INT)) AS mark",
-        )
+        segments.select("key", "eval_at", "n", "rank")
+        .mapInArrow(_mark_places(bits), "word int, mark long")
         .groupBy("word")
         .agg(F.bit_or("mark").alias("mark"))
         .toPandas()
@@ -406,9 +523,7 @@ def near_classes(texts: DataFrame) -> DataFrame:
     words = np.zeros(1 << (bits - 6), np.int64)
     words[marks["word"].to_numpy(np.int64)] = marks["mark"].to_numpy(np.int64)
     passed = context.broadcast(words.tobytes())
-    grams = train.mapInArrow(
-        _match_grams(passed, bits), "key long, train_class long, train_at int, m int"
-    )
+    grams = train.mapInArrow(_match_grams(passed, bits), _GRAM)
     # Classes that occur in several input partitions are reduced to one after
     # the exchange that the join needs anyway.
     left = segments.repartition(width, "key").dropDuplicates(["key", "eval_class", "eval_at"])
@@ -422,23 +537,19 @@ def near_classes(texts: DataFrame) -> DataFrame:
             & (F.abs(grown) <= allowed)
             & (F.col("rank") <= allowed)
             & (F.abs(shift) + F.abs(grown - shift) <= allowed)
+            & (_unlike("e", "t") <= allowed)
+            & (_unlike("t", "e") <= allowed)
         )
-        .select("eval_class", "train_class", "n", "m", "e0", "e1", "e2", "e3")
+        .select("eval_class", "train_class")
         .repartition(width, "train_class")
         .dropDuplicates(["train_class", "eval_class"])
     )
-    signed = (
-        train.mapInArrow(
-            _signed, "train_class long, train_words string, t0 long, t1 long, t2 long, t3 long"
-        )
+    texts_of_train = (
+        train.mapInArrow(_train_texts, "train_class long, train_words string")
         .repartition(width, "train_class")
         .dropDuplicates(["train_class"])
     )
-    alike = (
-        pairs.join(signed, "train_class")
-        .where((_unlike("e", "t") <= allowed) & (_unlike("t", "e") <= allowed))
-        .select("eval_class", "train_class", "train_words")
-    )
+    alike = pairs.join(texts_of_train, "train_class")
     whole = (
         evals.mapInArrow(_distinct_texts, "eval_class long, eval_words string")
         .repartition(width, "eval_class")
