@@ -30,7 +30,7 @@ MAX_RATIO = 0.2
 #: Cells of the count sketch of training segments, fixed: 4 MB.
 SKETCH_BITS = 20
 #: Bits of the filter of places of evaluation segments: 64 for each segment, within these.
-FILTER_BITS = (20, 27)
+FILTER_BITS = (20, 26)
 #: Words above which the signature has 256 bits instead of 128.
 LONG_TEXT = 80
 #: Segments have three words; texts shorter than this have segments of two.
@@ -230,35 +230,51 @@ def place_keys(key: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarra
 
 
 def _mark_places(bits: int):
-    """Filter bits of the places where a training text may hold a segment."""
+    """Filter bits of the places where a training text may hold a segment.
+
+    A task keeps the whole filter and gives it in 64 parts of fixed size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(1 << (bits - 6), np.uint64)
         for batch in batches:
-            key, at, n, rank = (batch.column(i).to_numpy() for i in range(4))
-            marks = []
-            # Lengths that can be within the edits allowed, and the shifts they allow.
+            key, at, n, rank = (batch.column(i).to_numpy().astype(np.int64) for i in range(4))
             shortest, longest = n - n // 5, n + n // 4
-            _, low = place_buckets(at, shortest)
-            _, high = place_buckets(at, longest)
-            reach = (longest // 5 + np.maximum(longest - n, n - shortest) + 1) // 2
-            first, last = np.maximum(at - reach, 0) >> 3, (at + reach) >> 3
+            low, high = place_buckets(at, shortest)[1], place_buckets(at, longest)[1]
             for d in range(int((high - low).max(initial=0)) + 1):
-                for e in range(int((last - first).max(initial=0)) + 1):
-                    ok = (low + d <= high) & (first + e <= last)
-                    marks.append(place_keys(key[ok], first[ok] + e, low[ok] + d))
-            slot = np.unique(np.concatenate(marks) & np.uint64((1 << bits) - 1)) if marks else np.zeros(0, np.uint64)
-            word = (slot >> np.uint64(6)).astype(np.int32)
-            if not len(word):
-                continue
-            starts = np.concatenate([[0], np.nonzero(np.diff(word))[0] + 1])
-            mark = np.bitwise_or.reduceat(np.uint64(1) << (slot & np.uint64(63)), starts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(word[starts]), pa.array(mark.view(np.int64))], ["word", "mark"]
+                # Lengths of this bucket, the edits they allow and the shifts those allow.
+                least = np.maximum(shortest, np.floor(1.2 ** (low + d)).astype(np.int64) - 1)
+                most = np.minimum(longest, np.ceil(1.2 ** (low + d + 1)).astype(np.int64) + 1)
+                edits = np.maximum(n, most) // 5
+                first = np.maximum(at + (least - n - edits) // 2, 0) >> 3
+                last = (at + (most - n + edits + 1) // 2) >> 3
+                fits = (low + d <= high) & (rank <= edits) & (least <= most)
+                for e in range(int((last - first)[fits].max(initial=0)) + 1):
+                    ok = fits & (first + e <= last)
+                    place = place_keys(key[ok], first[ok] + e, low[ok] + d)
+                    slot = np.unique(place & np.uint64((1 << bits) - 1))
+                    word = (slot >> np.uint64(6)).astype(np.int64)
+                    if len(word):
+                        starts = np.concatenate([[0], np.nonzero(np.diff(word))[0] + 1])
+                        words[word[starts]] |= np.bitwise_or.reduceat(
+                            np.uint64(1) << (slot & np.uint64(63)), starts
+                        )
+        if words.any():
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "part": pa.array(range(64), pa.int32()),
+                    "cells": pa.array([p.tobytes() for p in words.reshape(64, -1)], pa.binary()),
+                }
             )
 
     return run
 
 
+def _or_cells(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.bitwise_or.reduce([np.frombuffer(c, np.uint64) for c in pdf["cells"]])
+    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "cells": [total.tobytes()]})
+
+
 def _match_grams(filter_words, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh, words = _Fresh(), np.frombuffer(filter_words.value, np.uint64)
@@ -489,6 +505,15 @@ def _texts(df: DataFrame, fields: list[str], id_col: str, split_col: str, train:
     return rows.mapInArrow(_read_texts(train, tests, len(fields)), _TEXT)
 
 
+_PARTS = "part int, cells binary"
+
+
+def _gather(parts: DataFrame, merge) -> bytes:
+    """The merged parts of a sketch in order: 64 rows of fixed size, whatever the corpus."""
+    rows = parts.groupBy("part").applyInPandas(merge, _PARTS).collect()
+    return b"".join(bytes(r.cells) for r in sorted(rows, key=lambda r: r.part))
+
+
 def near_classes(texts: DataFrame) -> DataFrame:
     """``(eval_class, train_class, edits)`` of near-same, not equal, word sequences.
 
@@ -500,29 +525,16 @@ def near_classes(texts: DataFrame) -> DataFrame:
     width = task_count(spark)
     train = texts.where("is_train").select("class", "field", "words")
     evals = texts.where("not is_train").select("class", "field", "words")
-    # 64 rows of fixed size, whatever the corpus.
-    parts = (
-        train.mapInArrow(_count_grams(SKETCH_BITS), "part int, cells binary")
-        .groupBy("part")
-        .applyInPandas(_add_cells, "part int, cells binary")
-        .collect()
+    sketch = context.broadcast(
+        _gather(train.mapInArrow(_count_grams(SKETCH_BITS), _PARTS), _add_cells) or bytes(4 << SKETCH_BITS)
     )
-    cells = b"".join(bytes(r.cells) for r in sorted(parts, key=lambda r: r.part))
-    sketch = context.broadcast(cells or bytes(4 << SKETCH_BITS))
     segments = write_shared(evals.mapInArrow(_cut_segments(sketch, SKETCH_BITS), _SEGMENT), "segments")
     count = segments.count()
     bits = min(max(FILTER_BITS[0], int(max(count, 1) * 64).bit_length()), FILTER_BITS[1])
-    marks = (
-        segments.select("key", "eval_at", "n", "rank")
-        .mapInArrow(_mark_places(bits), "word int, mark long")
-        .groupBy("word")
-        .agg(F.bit_or("mark").alias("mark"))
-        .toPandas()
+    passed = context.broadcast(
+        _gather(segments.select("key", "eval_at", "n", "rank").mapInArrow(_mark_places(bits), _PARTS), _or_cells)
+        or bytes(1 << (bits - 3))
     )
-    # At most 2**21 words, 16 MB.
-    words = np.zeros(1 << (bits - 6), np.int64)
-    words[marks["word"].to_numpy(np.int64)] = marks["mark"].to_numpy(np.int64)
-    passed = context.broadcast(words.tobytes())
     grams = train.mapInArrow(_match_grams(passed, bits), _GRAM)
     # Classes that occur in several input partitions are reduced to one after
     # the exchange that the join needs anyway.
