@@ -1,0 +1,25 @@
+import pytest
+
+from tests.oracle import connect, spark_rows, sql_rows
+from threadmill.plans import ORACLES, QUERIES
+
+
+@pytest.fixture(scope="module")
+def con(sf):
+    return connect(sf)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, sf, con, name):
+    columns, rows = spark_rows(QUERIES[name](spark, sf))
+    if name in ORACLES:
+        assert (columns, rows) == sql_rows(con, ORACLES[name])
+    else:
+        assert rows
+
+
+def test_entry_points(spark):
+    import __spark_entry__
+
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert __spark_entry__.entry(spark).count() > 0
