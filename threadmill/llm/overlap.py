@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threadmill.llm.canonical import FIELD_BREAK, MIN_LETTERS
@@ -29,8 +29,10 @@ from threadmill.runtime import task_count, write_shared
 MAX_RATIO = 0.2
 #: Cells of the count sketch of training segments, fixed: 4 MB.
 SKETCH_BITS = 20
-#: Bits of the filter of places of evaluation segments: 64 for each segment, within these.
+#: Bits of the filter of places of evaluation segments: three for each character, within these.
 FILTER_BITS = (20, 26)
+#: Bits of the filter of classes that occur in candidate pairs.
+CLASS_BITS = 22
 #: Words above which the signature has 256 bits instead of 128.
 LONG_TEXT = 80
 #: Segments have three words; texts shorter than this have segments of two.
@@ -229,16 +231,23 @@ def place_keys(key: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarra
         return x ^ (x >> np.uint64(33))
 
 
-def _mark_places(bits: int):
+def filter_slots(place: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three bits of the filter for each place."""
+    mask = np.uint64((1 << bits) - 1)
+    return [(place >> np.uint64(shift)) & mask for shift in (0, 19, 38)]
+
+
+def _mark_places(sketch, sketch_bits: int, bits: int):
     """Filter bits of the places where a training text may hold a segment.
 
     A task keeps the whole filter and gives it in 64 parts of fixed size.
     """
+    cut = _cut_segments(sketch, sketch_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(1 << (bits - 6), np.uint64)
-        for batch in batches:
-            key, at, n, rank = (batch.column(i).to_numpy().astype(np.int64) for i in range(4))
+        for batch in cut(batches):
+            key, at, n, rank = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 2, 3, 4))
             shortest, longest = n - n // 5, n + n // 4
             low, high = place_buckets(at, shortest)[1], place_buckets(at, longest)[1]
             for d in range(int((high - low).max(initial=0)) + 1):
@@ -252,7 +261,7 @@ def _mark_places(bits: int):
                 for e in range(int((last - first)[fits].max(initial=0)) + 1):
                     ok = fits & (first + e <= last)
                     place = place_keys(key[ok], first[ok] + e, low[ok] + d)
-                    slot = np.unique(place & np.uint64((1 << bits) - 1))
+                    slot = np.unique(np.concatenate(filter_slots(place, bits)))
                     word = (slot >> np.uint64(6)).astype(np.int64)
                     if len(word):
                         starts = np.concatenate([[0], np.nonzero(np.diff(word))[0] + 1])
@@ -296,8 +305,9 @@ def _match_grams(filter_words, bits: int):
                 key = gram_keys(hashes, size, salt)[start]
                 at = start - offsets[row]
                 place = place_keys(key, *place_buckets(at, lengths[row]))
-                slot = (place & np.uint64((1 << bits) - 1)).astype(np.int64)
-                hit = (words[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
+                hit = np.ones(len(place), bool)
+                for slot in filter_slots(place, bits):
+                    hit &= (words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
                 at, row, key = at[hit], row[hit], key[hit]
                 cols = [
                     pa.array(key.view(np.int64)),
@@ -315,22 +325,35 @@ _GRAM = "key long, train_class long, train_at int, m int, t0 long, t1 long, t2 l
 _GRAM_COLUMNS = [c.split()[0] for c in _GRAM.split(", ")]
 
 
-def _train_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fresh = _Fresh()
-    for batch in batches:
-        batch = fresh(batch)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2)], ["train_class", "train_words"]
-        )
+def _mark_classes(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        for batch in batches:
+            slot = batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1)
+            np.bitwise_or.at(words, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+        if words.any():
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "part": pa.array(range(64), pa.int32()),
+                    "cells": pa.array([p.tobytes() for p in words.reshape(64, -1)], pa.binary()),
+                }
+            )
 
+    return run
 
-def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fresh = _Fresh()
-    for batch in batches:
-        batch = fresh(batch)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2)], ["eval_class", "eval_words"]
-        )
+
+def _only(marked, bits: int, columns: list[str]):
+    """Distinct texts whose class may be marked: a filter of 512 KB, so that few others move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh, words = _Fresh(), np.frombuffer(marked.value, np.uint64)
+        for batch in batches:
+            slot = batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1)
+            hit = (words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+            kept = fresh(batch.filter(pa.array(hit)))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2)], columns)
+
+    return run
 
 
 def banded_distance(
@@ -514,11 +537,12 @@ def _gather(parts: DataFrame, merge) -> bytes:
     return b"".join(bytes(r.cells) for r in sorted(rows, key=lambda r: r.part))
 
 
-def near_classes(texts: DataFrame) -> DataFrame:
+def near_classes(texts: DataFrame, eval_chars: int) -> DataFrame:
     """``(eval_class, train_class, edits)`` of near-same, not equal, word sequences.
 
     ``texts`` is what :func:`cross_split_overlaps` writes: one row for each
-    text, with the class of equal texts it belongs to.
+    text, with the class of equal texts it belongs to. ``eval_chars`` are the
+    characters of the evaluation texts, by which the filter is sized.
     """
     spark = texts.sparkSession
     context = spark.sparkContext
@@ -528,13 +552,13 @@ def near_classes(texts: DataFrame) -> DataFrame:
     sketch = context.broadcast(
         _gather(train.mapInArrow(_count_grams(SKETCH_BITS), _PARTS), _add_cells) or bytes(4 << SKETCH_BITS)
     )
-    segments = write_shared(evals.mapInArrow(_cut_segments(sketch, SKETCH_BITS), _SEGMENT), "segments")
-    count = segments.count()
-    bits = min(max(FILTER_BITS[0], int(max(count, 1) * 64).bit_length()), FILTER_BITS[1])
-    passed = context.broadcast(
-        _gather(segments.select("key", "eval_at", "n", "rank").mapInArrow(_mark_places(bits), _PARTS), _or_cells)
-        or bytes(1 << (bits - 3))
-    )
+    segments = evals.mapInArrow(_cut_segments(sketch, SKETCH_BITS), _SEGMENT)
+    # About one segment for each four words, of about six characters. Half as
+    # many tasks as usual, since each gives a filter of the whole size.
+    bits = min(max(FILTER_BITS[0], (eval_chars * 3).bit_length()), FILTER_BITS[1])
+    fewer = evals.coalesce(max(1, width // 2))
+    marks = fewer.mapInArrow(_mark_places(sketch, SKETCH_BITS, bits), _PARTS)
+    passed = context.broadcast(_gather(marks, _or_cells) or bytes(1 << (bits - 3)))
     grams = train.mapInArrow(_match_grams(passed, bits), _GRAM)
     # Classes that occur in several input partitions are reduced to one after
     # the exchange that the join needs anyway.
@@ -553,20 +577,22 @@ def near_classes(texts: DataFrame) -> DataFrame:
             & (_unlike("t", "e") <= allowed)
         )
         .select("eval_class", "train_class")
-        .repartition(width, "train_class")
-        .dropDuplicates(["train_class", "eval_class"])
-    )
-    texts_of_train = (
-        train.mapInArrow(_train_texts, "train_class long, train_words string")
-        .repartition(width, "train_class")
-        .dropDuplicates(["train_class"])
-    )
-    alike = pairs.join(texts_of_train, "train_class")
-    whole = (
-        evals.mapInArrow(_distinct_texts, "eval_class long, eval_words string")
-        .repartition(width, "eval_class")
-        .dropDuplicates(["eval_class"])
+        .distinct()
     )
+    # Pairs of ids are small against the texts; they are written once, mark the
+    # texts that are wanted and then meet them.
+    pairs = write_shared(pairs, "pairs")
+
+    def wanted(side: DataFrame, pair_column: str, word_column: str) -> DataFrame:
+        marks = pairs.select(pair_column).mapInArrow(_mark_classes(CLASS_BITS), _PARTS)
+        shared = context.broadcast(_gather(marks, _or_cells) or bytes(1 << (CLASS_BITS - 3)))
+        columns = [pair_column, word_column]
+        schema = f"{pair_column} long, {word_column} string"
+        picked = side.mapInArrow(_only(shared, CLASS_BITS, columns), schema)
+        return picked.repartition(width, pair_column).dropDuplicates([pair_column])
+
+    alike = pairs.repartition(width, "train_class").join(wanted(train, "train_class", "train_words"), "train_class")
+    whole = wanted(evals, "eval_class", "eval_words")
     both = alike.join(whole, "eval_class").select(
         "eval_class", "train_class", "eval_words", "train_words"
     )
@@ -595,8 +621,12 @@ def cross_split_overlaps(
     part. Repeated rows are repeated members. A table without evaluation or
     training rows gives no links. ``field`` is the column's name.
     """
-    texts = write_shared(_texts(df, list(fields), id_col, split_col, train, list(tests)), "texts")
-    near = near_classes(texts)
+    size = Observation()
+    read = _texts(df, list(fields), id_col, split_col, train, list(tests)).observe(
+        size, F.sum(F.when(~F.col("is_train"), F.length("words"))).alias("chars")
+    )
+    texts = write_shared(read, "texts")
+    near = near_classes(texts, size.get["chars"] or 0)
     field_of = texts.select(F.col("class").alias("eval_class"), "field").distinct()
     near = near.join(field_of, "eval_class")
     sides = texts.groupBy("class", "field").agg(F.bool_or("is_train").alias("t"), F.bool_and("is_train").alias("a"))

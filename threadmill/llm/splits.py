@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,55 +100,43 @@ def flow_split(
     at once.
     """
     nb, nk = len(supplies), len(quotas)
-    flow = [[0] * nk for _ in range(nb)]
-    left, room = list(supplies), list(quotas)
+    flow = np.zeros((nb, nk), np.int64)
+    left, room = np.array(supplies, np.int64), np.array(quotas, np.int64)
+    want = np.array(prefer, float).reshape(nb, nk)
     # Free flow first: no cheaper solution uses less of the zero-cost arcs of a
     # bundle than its floor while the quota has room.
     for b in range(nb):
         for k in range(nk):
-            x = max(0, min(int(prefer[b][k] + 1e-9), left[b], room[k]))
-            flow[b][k] += x
+            x = max(0, min(int(want[b, k] + 1e-9), int(left[b]), int(room[k])))
+            flow[b, k] = x
             left[b] -= x
             room[k] -= x
-
-    def cost_up(b: int, k: int) -> float:
-        over = flow[b][k] - prefer[b][k]
-        return max(0.0, over + 1.0)
-
-    def cost_down(b: int, k: int) -> float:
-        over = flow[b][k] - prefer[b][k]
-        return -max(0.0, over)
-
-    for b in range(nb):
-        while left[b]:
+    for b in np.nonzero(left)[0].tolist():
+        for _ in range(int(left[b])):
             # Cheapest path from b to a split with room; a path may pass
             # through full splits by taking a unit back from another bundle.
-            best = [cost_up(b, k) for k in range(nk)]
-            via: list[tuple[int, int] | None] = [None] * nk
+            up = np.maximum(0.0, flow - want + 1.0)
+            back = np.where(flow > 0, -np.maximum(0.0, flow - want), np.inf)
+            best, via = up[b].copy(), [None] * nk
+            move = {
+                (k, j): (int(o := np.argmin(back[:, k] + up[:, j])), float(back[o, k] + up[o, j]))
+                for k in range(nk) for j in range(nk) if j != k
+            }
             for _ in range(nk):
-                changed = False
-                for k in range(nk):
-                    for o in range(nb):
-                        if not flow[o][k]:
-                            continue
-                        back = best[k] + cost_down(o, k)
-                        for j in range(nk):
-                            if j != k and back + cost_up(o, j) < best[j] - 1e-12:
-                                best[j], via[j], changed = back + cost_up(o, j), (o, k), True
-                if not changed:
-                    break
+                for (k, j), (o, cost) in move.items():
+                    if best[k] + cost < best[j] - 1e-12:
+                        best[j], via[j] = best[k] + cost, (o, k)
             end = min((k for k in range(nk) if room[k]), key=lambda k: best[k])
             k, seen = end, set()
             while via[k] is not None and k not in seen:
                 seen.add(k)
-                o, prev = via[k]
-                flow[o][k] += 1
-                flow[o][prev] -= 1
-                k = prev
-            flow[b][k] += 1
-            left[b] -= 1
+                o, before = via[k]
+                flow[o, k] += 1
+                flow[o, before] -= 1
+                k = before
+            flow[b, k] += 1
             room[end] -= 1
-    return flow
+    return flow.tolist()
 
 
 def _whole(parts: list[float], total: int) -> list[int]:
