@@ -109,7 +109,7 @@ def test_text_edges(spark):
 
 def test_answers(spark):
     cases = {"True.": ("True", "True", "True", "unparseable"), "I say False": ("False", "unparseable", "False", "unparseable"),
-             "x FINAL: no\nFINAL: *True*": ("True", "unparseable", "True", "unparseable"), "": ("unparseable", "unparseable", None, "unparseable"),
+             "x FINAL: no\nFINAL: *True*": ("unparseable", "unparseable", "True", "unparseable"), "": ("unparseable", "unparseable", None, "unparseable"),
              "true and false": ("unparseable", "True", "True", "unparseable"), "neither": ("unparseable", "unparseable", None, "unparseable")}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     t = F.col("t")

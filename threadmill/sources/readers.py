@@ -73,7 +73,7 @@ def read_side_table(spark: SparkSession, path: str, key: str, value: str) -> Dat
     if not _exists(spark, path):
         empty = spark.createDataFrame([], shape)
     else:
-        raw = spark.read.option("wholetext", True).text(path)
+        raw = spark.read.text(path, wholetext=True)
         entries = F.from_json("value", f"map<string, {value}>")
         empty = raw.select(F.explode(entries).alias(key, "value"))
     return empty.select(key, "value.*") if value.startswith("struct") else empty
@@ -83,7 +83,7 @@ def read_whole_text(spark: SparkSession, path: str) -> DataFrame:
     """``(path, text)``, stripped; a missing file gives one row with an empty text."""
     if not _exists(spark, path):
         return spark.createDataFrame([(path, "")], "path string, text string")
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), strip(F.col("value")).alias("text")
     )
 
@@ -157,7 +157,7 @@ def read_predictions(spark: SparkSession, folder: str, pattern: str = "*.jsonl")
 
 def read_metrics(spark: SparkSession, path: str, schema: str, suffix: str = "_metrics.json") -> DataFrame:
     """One JSON object a file, with the community from the file name; unreadable files give no row."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(
         F.regexp_extract(F.replace(F.col("_metadata.file_name"), F.lit(suffix), F.lit("")), r"([^_]+)$", 1).alias("community"),
         F.from_json("value", schema).alias("m"),
@@ -181,7 +181,7 @@ def read_loss_log(spark: SparkSession, path: str) -> DataFrame:
 def read_train_meta(spark: SparkSession, path: str) -> DataFrame:
     """``log_history`` of a training summary: points with a loss, and with an evaluation loss."""
     point = "step long, loss double, eval_loss double, epoch double"
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     entries = F.from_json("value", f"log_history array<struct<{_struct(point)}>>")
     return raw.select(F.col("_metadata.file_name").alias("run"), F.inline(entries.getField("log_history")))
 
