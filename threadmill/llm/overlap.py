@@ -84,6 +84,15 @@ def signatures(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64).reshape(-1, 4)
 
 
+def wide_signatures(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Eight 64-bit words for each text, other buckets than :func:`signatures` has."""
+    lengths = np.diff(offsets)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    bits = np.zeros((len(lengths), 512), bool)
+    bits[row, (hashes >> np.uint64(31)).astype(np.int64) & 511] = True
+    return np.packbits(bits, axis=1).view(np.int64).reshape(-1, 8)
+
+
 class _Fresh:
     """Keeps the rows of a partition whose class was not seen in it before."""
 
@@ -343,7 +352,10 @@ def _mark_classes(bits: int):
 
 
 def _only(marked, bits: int, columns: list[str]):
-    """Distinct texts whose class may be marked: a filter of 512 KB, so that few others move."""
+    """Distinct texts whose class may be marked: a filter of 512 KB, so that few others move.
+
+    With two columns the text comes out, else its length and wide signature.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh, words = _Fresh(), np.frombuffer(marked.value, np.uint64)
@@ -351,7 +363,13 @@ def _only(marked, bits: int, columns: list[str]):
             slot = batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1)
             hit = (words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
             kept = fresh(batch.filter(pa.array(hit)))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2)], columns)
+            if len(columns) == 2:
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2)], columns)
+            elif kept.num_rows:
+                offsets, hashes = encode_words(kept.column(2))
+                sig = wide_signatures(offsets, hashes)
+                cols = [kept.column(0), pa.array(np.diff(offsets).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(sig[:, j]) for j in range(8)], columns)
 
     return run
 
@@ -442,6 +460,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _only_in(ours: str, theirs: str) -> Column:
+    """Buckets of the wide signature that only the first of two texts has."""
+    other = lambda j: F.bitwise_not(F.col(f"{theirs}{j}"))
+    return sum((F.bit_count(F.col(f"{ours}{j}").bitwiseAND(other(j))) for j in range(8)), F.lit(0))
+
+
 def _unlike(ours: str, theirs: str) -> Column:
     """Words' buckets that only one of two texts has, in the coarser signature of both."""
     bit = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
@@ -550,13 +574,13 @@ def near_classes(texts: DataFrame, eval_chars: int) -> DataFrame:
     train = texts.where("is_train").select("class", "field", "words")
     evals = texts.where("not is_train").select("class", "field", "words")
     sketch = context.broadcast(
-        _gather(train.mapInArrow(_count_grams(SKETCH_BITS), _PARTS), _add_cells) or bytes(4 << SKETCH_BITS)
+        _gather(train.coalesce(max(1, width // 2)).mapInArrow(_count_grams(SKETCH_BITS), _PARTS), _add_cells) or bytes(4 << SKETCH_BITS)
     )
     segments = evals.mapInArrow(_cut_segments(sketch, SKETCH_BITS), _SEGMENT)
-    # About one segment for each four words, of about six characters. Half as
-    # many tasks as usual, since each gives a filter of the whole size.
+    # About one segment for each four words, of about six characters. A quarter
+    # of the usual tasks, since each gives a filter of the whole size.
     bits = min(max(FILTER_BITS[0], (eval_chars * 3).bit_length()), FILTER_BITS[1])
-    fewer = evals.coalesce(max(1, width // 2))
+    fewer = evals.coalesce(max(1, width // 4))
     marks = fewer.mapInArrow(_mark_places(sketch, SKETCH_BITS, bits), _PARTS)
     passed = context.broadcast(_gather(marks, _or_cells) or bytes(1 << (bits - 3)))
     grams = train.mapInArrow(_match_grams(passed, bits), _GRAM)
@@ -583,16 +607,28 @@ def near_classes(texts: DataFrame, eval_chars: int) -> DataFrame:
     # texts that are wanted and then meet them.
     pairs = write_shared(pairs, "pairs")
 
-    def wanted(side: DataFrame, pair_column: str, word_column: str) -> DataFrame:
+    def wanted(pairs: DataFrame, side: DataFrame, pair_column: str, kinds: dict[str, str]) -> DataFrame:
         marks = pairs.select(pair_column).mapInArrow(_mark_classes(CLASS_BITS), _PARTS)
         shared = context.broadcast(_gather(marks, _or_cells) or bytes(1 << (CLASS_BITS - 3)))
-        columns = [pair_column, word_column]
-        schema = f"{pair_column} long, {word_column} string"
-        picked = side.mapInArrow(_only(shared, CLASS_BITS, columns), schema)
+        columns = {pair_column: "long"} | kinds
+        schema = ", ".join(f"{c} {kind}" for c, kind in columns.items())
+        picked = side.mapInArrow(_only(shared, CLASS_BITS, list(columns)), schema)
         return picked.repartition(width, pair_column).dropDuplicates([pair_column])
 
-    alike = pairs.repartition(width, "train_class").join(wanted(train, "train_class", "train_words"), "train_class")
-    whole = wanted(evals, "eval_class", "eval_words")
+    wide = lambda s, n: {n: "int"} | {f"{s}{j}": "long" for j in range(8)}
+    close = (
+        pairs.repartition(width, "train_class")
+        .join(wanted(pairs, train, "train_class", wide("t", "m")), "train_class")
+        .repartition(width, "eval_class")
+        .join(wanted(pairs, evals, "eval_class", wide("e", "n")), "eval_class")
+        .where((_only_in("e", "t") <= allowed) & (_only_in("t", "e") <= allowed))
+        .select("eval_class", "train_class")
+    )
+    close = write_shared(close, "close")
+    alike = close.repartition(width, "train_class").join(
+        wanted(close, train, "train_class", {"train_words": "string"}), "train_class"
+    )
+    whole = wanted(close, evals, "eval_class", {"eval_words": "string"})
     both = alike.join(whole, "eval_class").select(
         "eval_class", "train_class", "eval_words", "train_words"
     )
