@@ -90,23 +90,23 @@ def enrich_full(spark, sf):
 
 
 def _curve(spark, sf):
-    """Values of events by type in time, as a loss curve of five runs."""
+    """Whole values of events by type in time, as loss curves of five runs: sums are exact."""
     ev = read_table(spark, sf, "events").where("value is not null")
-    return ev.select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("loss"))
+    return ev.select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.floor("value").cast("double").alias("loss"))
 
 
-@query("""WITH n AS (SELECT event_type AS run, event_id AS step, value AS loss,
+@query("""WITH n AS (SELECT event_type AS run, event_id AS step, floor(value) AS loss,
   row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n
   FROM events WHERE value IS NOT NULL),
 s AS (SELECT *, greatest(5, n // 20) AS w, sum(loss) OVER (PARTITION BY run ORDER BY i) AS c FROM n)
-SELECT a.run, a.step, round(CASE WHEN a.n > 10 THEN (a.c - coalesce(b.c, 0)) / least(a.i, a.w + 1) ELSE a.loss END, 4) AS rolling
+SELECT a.run, a.step, CASE WHEN a.n > 10 THEN (a.c - coalesce(b.c, 0)) / least(a.i, a.w + 1) ELSE a.loss END AS rolling
 FROM s a LEFT JOIN s b ON a.run = b.run AND b.i = a.i - a.w - 1""")
 def window_rolling_loss(spark, sf):
     got = history.rolling_loss(_curve(spark, sf))
-    return got.select("run", "step", F.round("rolling", 4).alias("rolling"))
+    return got.select("run", "step", "rolling")
 
 
-@query("""SELECT event_type AS run, arg_min(event_id, struct_pack(a := value, b := event_id)) AS best_step, min(value) AS best_loss
+@query("""SELECT event_type AS run, arg_min(event_id, struct_pack(a := floor(value), b := event_id)) AS best_step, min(floor(value)) AS best_loss
 FROM events WHERE value IS NOT NULL GROUP BY event_type""")
 def agg_best_checkpoint(spark, sf):
     return history.best_checkpoint(_curve(spark, sf), loss="loss")
