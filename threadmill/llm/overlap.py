@@ -34,7 +34,7 @@ FILTER_BITS = (20, 26)
 #: Bits of the filter of classes that occur in candidate pairs.
 CLASS_BITS = 22
 #: Words above which the signature has 256 bits instead of 128.
-LONG_TEXT = 80
+LONG_TEXT = 96
 #: Segments have three words; texts shorter than this have segments of two.
 SHORT_TEXT = 12
 
@@ -502,6 +502,7 @@ def listed_fields(text: str) -> str | None:
 
 def _read_texts(train: str, tests: list[str], count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, bool]] = set()
         for batch in batches:
             ids, roles = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for field in range(count):
@@ -523,9 +524,15 @@ def _read_texts(train: str, tests: list[str], count: int):
                 lists = np.zeros(len(listed), np.int64)
                 if any(hashed):
                     lists[hashed] = _hash64([h for h in listed if h is not None])
+                classes = _hash64(flat)
+                # Of the copies of a text in a task and side the first keeps its words.
+                for k, key in enumerate(zip(classes.tolist(), side, strict=True)):
+                    if key in seen:
+                        words[k] = None
+                    seen.add(key)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(_hash64(flat)),
+                        pa.array(classes),
                         pa.array(np.full(len(words), field, np.int32)),
                         pa.array(words, pa.string()),
                         pa.array(who, pa.int64()),
@@ -565,22 +572,23 @@ def near_classes(texts: DataFrame, eval_chars: int) -> DataFrame:
     """``(eval_class, train_class, edits)`` of near-same, not equal, word sequences.
 
     ``texts`` is what :func:`cross_split_overlaps` writes: one row for each
-    text, with the class of equal texts it belongs to. ``eval_chars`` are the
+    text, with the class of equal texts it belongs to; copies may lack words. ``eval_chars`` are the
     characters of the evaluation texts, by which the filter is sized.
     """
     spark = texts.sparkSession
     context = spark.sparkContext
     width = task_count(spark)
-    train = texts.where("is_train").select("class", "field", "words")
-    evals = texts.where("not is_train").select("class", "field", "words")
+    worded = texts.where("words is not null")
+    train = worded.where("is_train").select("class", "field", "words")
+    evals = worded.where("not is_train").select("class", "field", "words")
     sketch = context.broadcast(
         _gather(train.coalesce(max(1, width // 2)).mapInArrow(_count_grams(SKETCH_BITS), _PARTS), _add_cells) or bytes(4 << SKETCH_BITS)
     )
     segments = evals.mapInArrow(_cut_segments(sketch, SKETCH_BITS), _SEGMENT)
-    # About one segment for each four words, of about six characters. A quarter
+    # About one segment for each four words, of about six characters. A sixth
     # of the usual tasks, since each gives a filter of the whole size.
     bits = min(max(FILTER_BITS[0], (eval_chars * 3).bit_length()), FILTER_BITS[1])
-    fewer = evals.coalesce(max(1, width // 4))
+    fewer = evals.coalesce(max(1, width // 6))
     marks = fewer.mapInArrow(_mark_places(sketch, SKETCH_BITS, bits), _PARTS)
     passed = context.broadcast(_gather(marks, _or_cells) or bytes(1 << (bits - 3)))
     grams = train.mapInArrow(_match_grams(passed, bits), _GRAM)
