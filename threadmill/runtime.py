@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
@@ -55,11 +56,17 @@ def write_shared(df: DataFrame, label: str) -> DataFrame:
 
     The written table cuts the lineage and survives the loss of executors, so
     a plan that reads an intermediate result several times, or once for each
-    iteration, does not compute it again.
+    iteration, does not compute it again. The shuffle files that made it are
+    removed when it is there, so that a chain of steps holds one step's files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN_KEY, "false")
+    spark.conf.set(CLEAN_KEY, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
