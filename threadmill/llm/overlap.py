@@ -614,6 +614,8 @@ def near_classes(texts: DataFrame, eval_chars: int) -> DataFrame:
     # Pairs of ids are small against the texts; they are written once, mark the
     # texts that are wanted and then meet them.
     pairs = write_shared(pairs, "pairs")
+    sketch.destroy()
+    passed.destroy()
 
     def wanted(pairs: DataFrame, side: DataFrame, pair_column: str, kinds: dict[str, str]) -> DataFrame:
         marks = pairs.select(pair_column).mapInArrow(_mark_classes(CLASS_BITS), _PARTS)
