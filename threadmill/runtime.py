@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +53,17 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Actions inside leave no shuffle files behind; a table that is read again is made again."""
+    before = spark.conf.get(CLEAN_KEY, "false")
+    spark.conf.set(CLEAN_KEY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_KEY, before)
+
+
 def write_shared(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return it read back.
 
@@ -61,12 +74,8 @@ def write_shared(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_KEY, "false")
-    spark.conf.set(CLEAN_KEY, "true")
-    try:
+    with shuffles_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEAN_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
