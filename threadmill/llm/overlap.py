@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threadmill.llm.canonical import FIELD_BREAK, MIN_LETTERS
-from threadmill.runtime import task_count, write_shared
+from threadmill.runtime import shuffles_removed, task_count, write_shared
 
 #: Edits allowed for each word of the longer text.
 MAX_RATIO = 0.2
@@ -564,7 +564,8 @@ _PARTS = "part int, cells binary"
 
 def _gather(parts: DataFrame, merge) -> bytes:
     """The merged parts of a sketch in order: 64 rows of fixed size, whatever the corpus."""
-    rows = parts.groupBy("part").applyInPandas(merge, _PARTS).collect()
+    with shuffles_removed(parts.sparkSession):
+        rows = parts.groupBy("part").applyInPandas(merge, _PARTS).collect()
     return b"".join(bytes(r.cells) for r in sorted(rows, key=lambda r: r.part))
 
 
