@@ -172,8 +172,12 @@ class Model:
 SPAN = max(WIDTHS)
 
 
-def layout(texts: Texts, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of some texts with padding after each, so that no window spans two texts."""
+def layout(texts: Texts, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of some texts with padding after each, their starts, and where their windows begin and end.
+
+    A window that starts in a text ends in its padding; those that start in the
+    padding are left out, as they reach into the next text.
+    """
     lengths = (texts.starts[1:] - texts.starts[:-1])[pick]
     starts = np.concatenate([[0], np.cumsum(lengths + SPAN)]).astype(np.int64)
     ids = np.zeros(starts[-1], np.int64)
@@ -181,7 +185,8 @@ def layout(texts: Texts, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids[np.repeat(starts[:-1], lengths) + inner] = texts.ids[
         np.repeat(texts.starts[:-1][pick], lengths) + inner
     ]
-    return starts, ids
+    windows = np.stack([starts[:-1], starts[:-1] + np.maximum(lengths, 1)], axis=1)
+    return starts, ids, windows
 
 
 def quoted(mark: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -214,12 +219,12 @@ def predict(model: Model, texts: Texts, reader: Reader, block: int = 128) -> np.
     out = np.zeros(len(texts), np.float32)
     for lo in range(0, len(texts), block):
         pick = np.arange(lo, min(lo + block, len(texts)))
-        starts, ids = layout(texts, pick)
+        starts, ids, windows = layout(texts, pick)
         x = vectors[ids]
         marks = mark[ids]
         if marks.any():
             x[quoted(marks, starts)] += model.quote
-        h = np.maximum.reduceat(_windows(x) @ bank, starts[:-1], axis=0) + model.bias
+        h = np.maximum.reduceat(_windows(x) @ bank, windows.ravel(), axis=0)[::2] + model.bias
         out[pick] = np.maximum(h, 0) @ model.out + model.out_bias
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
@@ -258,14 +263,14 @@ def train(
         rate = RATE * (1 - epoch / epochs) + RATE * 0.05
         for lo in range(0, len(order), BATCH):
             pick = order[lo : lo + BATCH]
-            starts, ids = layout(texts, rows[pick])
+            starts, ids, windows = layout(texts, rows[pick])
             keep = rng.random(len(ids)) > 0.15
             words, bags = slot[word[ids]] * keep, slot[bag[ids]] * keep
             inside = quoted(mark[ids], starts)
             x = table[words] + table[bags]
             x[inside] += model.quote
             y = _windows(x) @ _bank(model)
-            top = np.stack([a + y[a:b].argmax(axis=0) for a, b in zip(starts[:-1], starts[1:], strict=True)])
+            top = np.stack([a + y[a:b].argmax(axis=0) for a, b in windows.tolist()])
             h = np.take_along_axis(y, top, 0) + model.bias
             drop = (rng.random(h.shape) > 0.3).astype(np.float32) / np.float32(0.7)
             z = np.maximum(h, 0) * drop

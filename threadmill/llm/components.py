@@ -30,9 +30,9 @@ def _settle(edges: DataFrame) -> tuple[DataFrame, tuple]:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(u, v)`` links of long ids to ``(node, root)``.
 
-    ``root`` is the smallest id of the component. Nodes without a link to
-    another node have no row; null ends and self-links are ignored. The number
-    of rounds grows with the logarithm of the longest path.
+    ``root`` is the smallest id of the component. Roots themselves and nodes
+    without a link to another node have no row; null ends and self-links are
+    ignored. The number of rounds grows with the logarithm of the longest path.
     """
     edges = (
         edges.where("u <> v")
