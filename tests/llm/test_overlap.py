@@ -109,3 +109,15 @@ def test_hot_text(spark):
     rows = [(i, "train" if i % 3 else "test", hot, None) for i in range(900)]
     members, links = cross_split_overlaps(spark.createDataFrame(rows, SCHEMA).repartition(9))
     assert links.count() == 1 and members.count() == 900
+
+
+def test_each_spacing_of_a_text_is_compared(spark):
+    apart = "we don't sell second hand books in this small town"
+    joined = "we dont sell secondhand books in this small town"
+    near = "we dont sell secondhand magazines in this small town"  # one edit from joined, four of ten words from apart
+    for side, other in (("train", "test"), ("test", "train")):
+        for first, second in ((apart, joined), (joined, apart)):
+            rows = [(1, side, first, None), (2, side, second, None), (3, other, near, None)]
+            members, links = cross_split_overlaps(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+            assert [r.edits for r in links.collect()] == [1]
+            assert {frozenset((r.eval_id, r.train_id)) for r in overlap_pairs(members, links).collect()} == {frozenset((1, 3)), frozenset((2, 3))}

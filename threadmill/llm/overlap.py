@@ -31,8 +31,8 @@ MAX_RATIO = 0.2
 SKETCH_BITS = 20
 #: Bits of the filter of places of evaluation segments: three for each character, within these.
 FILTER_BITS = (20, 26)
-#: Bits of the filter of classes that occur in candidate pairs.
-CLASS_BITS = 22
+#: Bits of the filter of forms that occur in candidate pairs.
+FORM_BITS = 22
 #: Words above which the signature has 256 bits instead of 128.
 LONG_TEXT = 96
 #: Segments have three words; texts shorter than this have segments of two.
@@ -94,7 +94,7 @@ def wide_signatures(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 class _Fresh:
-    """Keeps the rows of a partition whose class was not seen in it before."""
+    """Keeps the rows of a partition whose form was not seen in it before."""
 
     def __init__(self):
         self.seen: set[int] = set()
@@ -221,7 +221,7 @@ def _cut_segments(sketch, bits: int):
 
 
 _SEGMENT = (
-    "key long, eval_class long, eval_at int, n int, rank int, e0 long, e1 long, e2 long, e3 long"
+    "key long, eval_form long, eval_at int, n int, rank int, e0 long, e1 long, e2 long, e3 long"
 )
 _SEGMENT_COLUMNS = [c.split()[0] for c in _SEGMENT.split(", ")]
 
@@ -330,11 +330,11 @@ def _match_grams(filter_words, bits: int):
     return run
 
 
-_GRAM = "key long, train_class long, train_at int, m int, t0 long, t1 long, t2 long, t3 long"
+_GRAM = "key long, train_form long, train_at int, m int, t0 long, t1 long, t2 long, t3 long"
 _GRAM_COLUMNS = [c.split()[0] for c in _GRAM.split(", ")]
 
 
-def _mark_classes(bits: int):
+def _mark_forms(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(1 << (bits - 6), np.uint64)
         for batch in batches:
@@ -352,9 +352,9 @@ def _mark_classes(bits: int):
 
 
 def _only(marked, bits: int, columns: list[str]):
-    """Distinct texts whose class may be marked: a filter of 512 KB, so that few others move.
+    """Distinct texts whose form may be marked: a filter of 512 KB, so that few others move.
 
-    With two columns the text comes out, else its length and wide signature.
+    With three columns the class and the text come out, else its length and wide signature.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,8 +363,8 @@ def _only(marked, bits: int, columns: list[str]):
             slot = batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1)
             hit = (words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
             kept = fresh(batch.filter(pa.array(hit)))
-            if len(columns) == 2:
-                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2)], columns)
+            if len(columns) == 3:
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(3), kept.column(2)], columns)
             elif kept.num_rows:
                 offsets, hashes = encode_words(kept.column(2))
                 sig = wide_signatures(offsets, hashes)
@@ -480,7 +480,7 @@ def _unlike(ours: str, theirs: str) -> Column:
 
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(FIELD_BREAK)
-_TEXT = "class long, field int, words string, id long, is_train boolean, listed long"
+_TEXT = "class long, field int, words string, id long, is_train boolean, listed long, form long"
 _TEXT_COLUMNS = [c.split()[0] for c in _TEXT.split(", ")]
 
 
@@ -506,7 +506,7 @@ def _read_texts(train: str, tests: list[str], count: int):
         for batch in batches:
             ids, roles = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for field in range(count):
-                words, flat, listed, who, side = [], [], [], [], []
+                words, flat, spaced, listed, who, side = [], [], [], [], [], []
                 for i, role, text in zip(ids, roles, batch.column(2 + field).to_pylist(), strict=True):
                     if not text or len(text) < MIN_LETTERS:
                         continue
@@ -516,6 +516,7 @@ def _read_texts(train: str, tests: list[str], count: int):
                         continue
                     words.append(" ".join(found))
                     flat.append(f"{field} {joined}")
+                    spaced.append(f"{field} {words[-1]}")
                     fields = listed_fields(text)
                     listed.append(None if fields is None else f"{field} fields {fields}")
                     who.append(i)
@@ -524,9 +525,9 @@ def _read_texts(train: str, tests: list[str], count: int):
                 lists = np.zeros(len(listed), np.int64)
                 if any(hashed):
                     lists[hashed] = _hash64([h for h in listed if h is not None])
-                classes = _hash64(flat)
-                # Of the copies of a text in a task and side the first keeps its words.
-                for k, key in enumerate(zip(classes.tolist(), side, strict=True)):
+                classes, forms = _hash64(flat), _hash64(spaced)
+                # Of the copies of a word sequence in a task and side the first keeps its words.
+                for k, key in enumerate(zip(forms.tolist(), side, strict=True)):
                     if key in seen:
                         words[k] = None
                     seen.add(key)
@@ -538,6 +539,7 @@ def _read_texts(train: str, tests: list[str], count: int):
                         pa.array(who, pa.int64()),
                         pa.array(side, pa.bool_()),
                         pa.array(lists, mask=~np.array(hashed, bool)),
+                        pa.array(forms, mask=np.array([w is None for w in words], bool)),
                     ],
                     _TEXT_COLUMNS,
                 )
@@ -573,15 +575,18 @@ def near_classes(texts: DataFrame, eval_chars: int) -> DataFrame:
     """``(eval_class, train_class, edits)`` of near-same, not equal, word sequences.
 
     ``texts`` is what :func:`cross_split_overlaps` writes: one row for each
-    text, with the class of equal texts it belongs to; copies may lack words. ``eval_chars`` are the
-    characters of the evaluation texts, by which the filter is sized.
+    text, with the class of equal texts it belongs to and its form, the word
+    sequence; copies of a form may lack words. Texts of a class may be spaced
+    in several ways, so forms are compared, and a pair of classes comes once
+    for each near pair of their forms. ``eval_chars`` are the characters of the
+    evaluation texts, by which the filter is sized.
     """
     spark = texts.sparkSession
     context = spark.sparkContext
     width = task_count(spark)
     worded = texts.where("words is not null")
-    train = worded.where("is_train").select("class", "field", "words")
-    evals = worded.where("not is_train").select("class", "field", "words")
+    train = worded.where("is_train").select("form", "field", "words", "class")
+    evals = worded.where("not is_train").select("form", "field", "words", "class")
     sketch = context.broadcast(
         _gather(train.coalesce(max(1, width // 2)).mapInArrow(_count_grams(SKETCH_BITS), _PARTS), _add_cells) or bytes(4 << SKETCH_BITS)
     )
@@ -593,23 +598,23 @@ def near_classes(texts: DataFrame, eval_chars: int) -> DataFrame:
     marks = fewer.mapInArrow(_mark_places(sketch, SKETCH_BITS, bits), _PARTS)
     passed = context.broadcast(_gather(marks, _or_cells) or bytes(1 << (bits - 3)))
     grams = train.mapInArrow(_match_grams(passed, bits), _GRAM)
-    # Classes that occur in several input partitions are reduced to one after
+    # Forms that occur in several input partitions are reduced to one after
     # the exchange that the join needs anyway.
-    left = segments.repartition(width, "key").dropDuplicates(["key", "eval_class", "eval_at"])
-    right = grams.repartition(width, "key").dropDuplicates(["key", "train_class", "train_at"])
+    left = segments.repartition(width, "key").dropDuplicates(["key", "eval_form", "eval_at"])
+    right = grams.repartition(width, "key").dropDuplicates(["key", "train_form", "train_at"])
     allowed = F.floor(F.greatest("n", "m") / 5)
     shift, grown = F.col("train_at") - F.col("eval_at"), F.col("m") - F.col("n")
     pairs = (
         left.join(right, "key")
         .where(
-            (F.col("eval_class") != F.col("train_class"))
+            (F.col("eval_form") != F.col("train_form"))
             & (F.abs(grown) <= allowed)
             & (F.col("rank") <= allowed)
             & (F.abs(shift) + F.abs(grown - shift) <= allowed)
             & (_unlike("e", "t") <= allowed)
             & (_unlike("t", "e") <= allowed)
         )
-        .select("eval_class", "train_class")
+        .select("eval_form", "train_form")
         .distinct()
     )
     # Pairs of ids are small against the texts; they are written once, mark the
@@ -619,28 +624,28 @@ def near_classes(texts: DataFrame, eval_chars: int) -> DataFrame:
     passed.destroy()
 
     def wanted(pairs: DataFrame, side: DataFrame, pair_column: str, kinds: dict[str, str]) -> DataFrame:
-        marks = pairs.select(pair_column).mapInArrow(_mark_classes(CLASS_BITS), _PARTS)
-        shared = context.broadcast(_gather(marks, _or_cells) or bytes(1 << (CLASS_BITS - 3)))
+        marks = pairs.select(pair_column).mapInArrow(_mark_forms(FORM_BITS), _PARTS)
+        shared = context.broadcast(_gather(marks, _or_cells) or bytes(1 << (FORM_BITS - 3)))
         columns = {pair_column: "long"} | kinds
         schema = ", ".join(f"{c} {kind}" for c, kind in columns.items())
-        picked = side.mapInArrow(_only(shared, CLASS_BITS, list(columns)), schema)
+        picked = side.mapInArrow(_only(shared, FORM_BITS, list(columns)), schema)
         return picked.repartition(width, pair_column).dropDuplicates([pair_column])
 
     wide = lambda s, n: {n: "int"} | {f"{s}{j}": "long" for j in range(8)}
     close = (
-        pairs.repartition(width, "train_class")
-        .join(wanted(pairs, train, "train_class", wide("t", "m")), "train_class")
-        .repartition(width, "eval_class")
-        .join(wanted(pairs, evals, "eval_class", wide("e", "n")), "eval_class")
+        pairs.repartition(width, "train_form")
+        .join(wanted(pairs, train, "train_form", wide("t", "m")), "train_form")
+        .repartition(width, "eval_form")
+        .join(wanted(pairs, evals, "eval_form", wide("e", "n")), "eval_form")
         .where((_only_in("e", "t") <= allowed) & (_only_in("t", "e") <= allowed))
-        .select("eval_class", "train_class")
+        .select("eval_form", "train_form")
     )
     close = write_shared(close, "close")
-    alike = close.repartition(width, "train_class").join(
-        wanted(close, train, "train_class", {"train_words": "string"}), "train_class"
+    alike = close.repartition(width, "train_form").join(
+        wanted(close, train, "train_form", {"train_class": "long", "train_words": "string"}), "train_form"
     )
-    whole = wanted(close, evals, "eval_class", {"eval_words": "string"})
-    both = alike.join(whole, "eval_class").select(
+    whole = wanted(close, evals, "eval_form", {"eval_class": "long", "eval_words": "string"})
+    both = alike.join(whole, "eval_form").where("eval_class <> train_class").select(
         "eval_class", "train_class", "eval_words", "train_words"
     )
     return both.mapInArrow(_verify, "eval_class long, train_class long, edits int")
@@ -660,7 +665,7 @@ def cross_split_overlaps(
     second the links ``(eval_class, train_class, field, edits)``: equal texts
     and equal lists of labelled fields have ``edits`` 0, near-same ones the
     number of words inserted, dropped or replaced, at most one in five of the
-    longer text. Letter case, punctuation and spacing do not count. Copies are
+    longer text, and the smallest number where copies are spaced differently. Letter case, punctuation and spacing do not count. Copies are
     in the membership, not in the links; :func:`overlap_pairs` expands them.
 
     Null, empty and short texts (fewer than 20 letters and digits) overlap
