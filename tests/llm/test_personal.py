@@ -64,3 +64,21 @@ def test_rows(spark):
     by = {(r.id, r.body is None): r for r in masked.collect()}
     assert by[(2, True)].parent_body == "" and by[(2, True)].body_kinds == []
     assert mask_personal(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "text,kind,mention",
+    [
+        ("text two one two, three four six, one two nine eight ok", "phone", "two one two, three four six, one two nine eight"),
+        ("ring Six-One-Seven, four four two, nine eight one one.", "phone", "Six-One-Seven, four four two, nine eight one one"),
+        ("mine is AB 12 34 56 C by the way", "id_number", "AB 12 34 56 C"),
+        ("mine is jk123456d by the way", "id_number", "jk123456d"),
+    ],
+)
+def test_any_digits_and_prefixes(text, kind, mention):
+    assert [(text[a:b], k) for a, b, k in Finder()(text)] == [(mention, kind)]
+
+
+@pytest.mark.parametrize("text", ["part DA 12 34 56 C", "part GB 12 34 56 C", "part AO123456C", "at 10 20 30 a day", "one or two, three at most, someone alone on the phone"])
+def test_no_digits_and_prefixes(text):
+    assert Finder()(text) == []

@@ -103,8 +103,11 @@ _PHONE = re.compile(
     rf"|0\d{{3,4}}{_SEP}\d{{5,7}}"
     rf")(?:,?{_SP}(?:ext\.?|extension|x){_SP}\d{{1,5}})?(?![\w]|[.\-]\d)"
 )
-_NUMBER_WORD = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-_SPELLED = re.compile(rf"(?i)\b(?:plus{_GAP})?{_NUMBER_WORD}(?:[,\-]?{_GAP}?(?:double{_GAP}|triple{_GAP})?{_NUMBER_WORD}){{6,14}}\b")
+#: Number words of a spelled-out phone number, at least.
+SPELLED_DIGITS = 7
+NUMBER_WORDS = "zero oh one two three four five six seven eight nine".split()
+_NUMBER_WORD = f"(?:{'|'.join(NUMBER_WORDS)})"
+_SPELLED = re.compile(rf"(?i)\b(?:plus{_GAP})?{_NUMBER_WORD}(?:[,\-]?{_GAP}?(?:double{_GAP}|triple{_GAP})?{_NUMBER_WORD}){{{SPELLED_DIGITS - 1},14}}\b")
 
 _SSN = re.compile(r"(?<![\w\-.])\d{3}[-\s]{1,2}\d{2}[-\s]{1,2}\d{4}(?![\w\-])")
 _NINE = re.compile(r"(?<![\w\-.])\d{9}(?![\w\-])")
@@ -117,6 +120,8 @@ _ID_FORMS = {
     "social": (_SSN, _NINE), "insurance": (_NINO, _SSN), "tax": (_TAX, _SSN, _NINE, _DNI),
     "passport": (_PASSPORT,), "licence": (_LICENCE,), "dni": (_DNI,),
 }
+#: Pairs of letters that no national insurance number begins with.
+NO_PREFIXES = set("BG GB KN NK NT TN ZZ".split())
 #: Characters between a cue and its number, on either side.
 CUE_REACH = 60
 
@@ -198,6 +203,8 @@ class Finder:
             cues.setdefault(cue, []).append(("given", cue))
         for cue in NAME_CUES:
             cues.setdefault(cue, []).append(("name_cue", cue))
+        for cue in NUMBER_WORDS:
+            cues.setdefault(cue, []).append(("number_word", cue))
         for cue, uses in cues.items():
             auto.add_word(cue, (len(cue), tuple(uses)))
         auto.make_automaton()
@@ -210,7 +217,7 @@ class Finder:
         for last, (length, uses) in self.auto.iter(low):
             start, end = last - length + 1, last + 1
             for use, what in uses:
-                if use not in ("at", "street_end") and (
+                if use not in ("at", "street_end", "number_word") and (
                     (start and (low[start - 1].isalnum() or low[start - 1] == "_"))
                     or (end < size and (low[end].isalnum() or low[end] == "_"))
                 ):
@@ -234,8 +241,9 @@ class Finder:
         if digit:
             found += self._phones(text, found)
             found += [(m.start(), m.end(), "id_number") for m in _SSN.finditer(text) if _dashed(m[0])]
-            found += [(m.start(), m.end(), "id_number") for m in _NINO.finditer(text) if m[0][:2].lower() == "qq"]
-        if "oh" in low or "zero" in low or "five" in low:
+            found += [(m.start(), m.end(), "id_number") for m in _NINO.finditer(text) if _insurance_prefix(m[0])]
+        # A spelled-out phone number has seven digits at least.
+        if len(at.get("number_word", ())) >= SPELLED_DIGITS:
             found += [(m.start(), m.end(), "phone") for m in _SPELLED.finditer(text)]
         kept = settle(found)
         names = self._names(text, low, at)
@@ -361,6 +369,19 @@ def _dashed(number: str) -> bool:
     return number.count("-") == 2
 
 
+def _insurance_prefix(number: str) -> bool:
+    """Whether a national insurance number begins as the public rule has it, or with QQ as in examples.
+
+    D, F, I, Q, U and V are in neither place, O is not in the second, and seven pairs are not given out.
+    """
+    pair = number[:2].upper()
+    if pair == "QQ":
+        return True
+    if number[:2].islower() and number[2].isspace() and number[:2] in NOT_SURNAMES:
+        return False  # "at 10 20 30 a day"
+    return not (set(pair) & set("DFIQUV")) and pair[1] != "O" and pair not in NO_PREFIXES
+
+
 def _even_case(name: str, kind: str) -> bool:
     """Street names and their type are written alike: all capitalised, or none."""
     letters = [w[0] for w in _HERE.findall(name) if w[0].isalpha()]
