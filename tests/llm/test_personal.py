@@ -82,3 +82,26 @@ def test_any_digits_and_prefixes(text, kind, mention):
 @pytest.mark.parametrize("text", ["part DA 12 34 56 C", "part GB 12 34 56 C", "part AO123456C", "at 10 20 30 a day", "one or two, three at most, someone alone on the phone"])
 def test_no_digits_and_prefixes(text):
     assert Finder()(text) == []
+
+
+@pytest.mark.parametrize(
+    "text,masked",
+    [
+        ("passport numbers A1234567 and B7654321 expired", "passport numbers [ID_NUMBER] and [ID_NUMBER] expired"),
+        ("tax ids 12 345 678 901 and 98 765 432 109.", "tax ids [ID_NUMBER] and [ID_NUMBER]."),
+        ("SSN: 971228822, 971228823 / 971228824, and 998-37-1108", "SSN: [ID_NUMBER], [ID_NUMBER] / [ID_NUMBER], and [ID_NUMBER]"),
+        ("passport:\n- A1234567\n- B7654321\n- C7654322\nthanks", "passport:\n- [ID_NUMBER]\n- [ID_NUMBER]\n- [ID_NUMBER]\nthanks"),
+        ("K1234567, K1234568 or (K1234569) is my passport", "[ID_NUMBER], [ID_NUMBER] or ([ID_NUMBER]) is my passport"),
+        ("Reisepass Nr. C1234567 und Nr. C1234568", "Reisepass Nr. [ID_NUMBER] und Nr. [ID_NUMBER]"),
+        ("passport A1234567, order of 20 and seed B12", "passport [ID_NUMBER], order of 20 and seed B12"),
+        ("passports: passport A 1234567 and E 1234568", "passports: passport [ID_NUMBER] and [ID_NUMBER]"),
+        ("order A1234567, passport B7654321", "order A1234567, passport [ID_NUMBER]"),
+    ],
+)
+def test_lists_of_numbers(text, masked):
+    assert mask(text, Finder()(text)) == masked
+
+
+def test_long_list_of_numbers():
+    text = "passports, or rather passport numbers: " + ", ".join(f"A{1234567 + i}" for i in range(50))
+    assert [k for _, _, k in Finder()(text)] == ["id_number"] * 50

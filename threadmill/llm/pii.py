@@ -124,6 +124,14 @@ _ID_FORMS = {
 NO_PREFIXES = set("BG GB KN NK NT TN ZZ".split())
 #: Characters between a cue and its number, on either side.
 CUE_REACH = 60
+#: Characters of a number and of what sets it apart from the next in a list, at most.
+LIST_REACH = 80
+_LIST_WORD = "and|or|plus|und|oder|sowie|et|ou|y|e|o|u"
+# What stands between two numbers of a list: signs, line breaks, "and", "no.", quotes and brackets.
+_LIST_GAP = re.compile(
+    rf"(?i)[\"'“”„‘’`*_)\]]*(?:\s*(?:[,;/&+|•]|\b(?:{_LIST_WORD})\b)|\s+)(?:\s*(?:[,;/&+|•*\-]|\b(?:{_LIST_WORD})\b)){{0,2}}"
+    rf"\s*(?:(?:no|nr|num|number|nummer|número|numéro|n[º°o])\b\.?:?|#)?\s*[\"'“”„‘’`*_(\[]*"
+)
 
 _STREET_WORD = r"[^\W\d_][\w'’\-]*\.?"
 _ADDRESS_EN = re.compile(
@@ -296,14 +304,15 @@ class Finder:
         for start, end, form in anchors:
             lo, hi = max(0, start - CUE_REACH), min(len(text), end + CUE_REACH)
             for pattern in _ID_FORMS[form]:
-                # The number nearest to its cue, and only that one.
+                # The number nearest to its cue, and those that stand in a list with it.
                 near = min(
                     pattern.finditer(text, lo, hi),
                     key=lambda m: min(abs(m.start() - end), abs(start - m.end())),
                     default=None,
                 )
                 if near:
-                    out.append((near.start(), near.end(), "id_number"))
+                    for a, b in _listed(text, near.start(), near.end(), _ID_FORMS[form]):
+                        out.append((a, b, "id_number"))
                     break
         return out
 
@@ -365,6 +374,24 @@ class Finder:
 _UNIT_BEFORE = re.compile(r"(?i)\b(?:unit|apt\.?|flat|suite|vitamin|plan|section|type|class|\w\.)\s*$")
 
 
+def _listed(text: str, start: int, end: int, forms) -> list[tuple[int, int]]:
+    """The number at ``start`` and those before and after it in a list, each of one of ``forms``."""
+    out = [(start, end)]
+    at = end
+    while item := next(
+        (m for p in forms for m in p.finditer(text, at, at + LIST_REACH) if m.start() < at + LIST_REACH // 2 and _LIST_GAP.fullmatch(text, at, m.start())), None
+    ):
+        out.append(item.span())
+        at = item.end()
+    at = start
+    while item := next(
+        (m for p in forms for m in p.finditer(text, max(0, at - LIST_REACH), at) if _LIST_GAP.fullmatch(text, m.end(), at)), None
+    ):
+        out.append(item.span())
+        at = item.start()
+    return out
+
+
 def _dashed(number: str) -> bool:
     return number.count("-") == 2
 
