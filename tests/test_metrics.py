@@ -113,3 +113,34 @@ def test_index_percentile(spark):
     low = resample.index_percentile(F.col("v"), 0.025, False)
     high = resample.index_percentile(F.col("v"), 0.975, True)
     assert tuple(df.select(low, high).first()) == (3.0, 98.0)
+
+
+def test_auroc_interval(spark):
+    rng = np.random.default_rng(7)
+    rows = [("a", "removed" if y else "approved", round(float(rng.normal(y)), 1)) for y in rng.integers(0, 2, 300).tolist()]
+    rows += [("b", "removed", 0.5), ("b", "removed", 0.7), ("a", "removed", None), ("d", None, 0.1)]
+    df = spark.createDataFrame(rows, "g string, label string, confidence double")
+    got = {r.g: r for r in resample.auroc_ci(df, ["g"]).collect()}
+    assert got["b"].mean is None and got["b"].low is None and got["b"].high is None and got["d"].high is None
+    # Drawn by rows, with another generator: the bounds agree but for chance.
+    y, x = (np.array([r[k] for r in rows[:300]]) for k in (1, 2))
+    values = []
+    for _ in range(1000):
+        at = rng.integers(0, 300, 300)
+        p, n = x[at][y[at] == "removed"], x[at][y[at] != "removed"]
+        values.append(((p[:, None] > n).mean() + 0.5 * (p[:, None] == n).mean()))
+    values.sort()
+    assert abs(got["a"].low - values[25]) < 0.015 and abs(got["a"].high - values[974]) < 0.015
+    assert abs(got["a"].mean - np.mean(values)) < 0.005
+    again = {r.g: r for r in resample.auroc_ci(df.repartition(3), ["g"]).collect()}
+    assert again == got
+
+
+def test_registered_auroc_interval_is_no_range_of_few_resamples(spark, sf):
+    from threadmill.plans import QUERIES
+    from threadmill.plans.metric_queries import predictions
+
+    pred = predictions(spark, sf).where("subreddit is not null").select("subreddit", "label", "confidence")
+    key = lambda r: r.subreddit
+    want = sorted(resample.auroc_ci(pred, ["subreddit"], runs=1000).collect(), key=key)
+    assert sorted(QUERIES["bootstrap_auroc"](spark, sf).collect(), key=key) == want

@@ -84,6 +84,47 @@ def bootstrap_by_rows(
     return statistic(draws.join(ranked, [*by, "_i"]), [*by, "run"])
 
 
+def auroc_ci(
+    df: DataFrame, by: list[str], runs: int = 1000, level: float = 0.95, seed: int = 42, confidence: str = "confidence"
+) -> DataFrame:
+    """``(group, mean, low, high)`` of the AUROC of ``runs`` resamples, ties averaged.
+
+    A resample of rows is one multinomial draw over the group's (confidence,
+    label) cells. Values are rounded to four digits for the bounds; resamples
+    of one class have no AUROC and are left out.
+    """
+    positive = F.coalesce(F.col("label") == "removed", F.lit(False))
+    cells = (
+        df.where(F.col(confidence).isNotNull())
+        .groupBy(*by, F.col(confidence).cast("double").alias("c"))
+        .agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
+    )
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in by)
+
+    def replicate(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("c")
+        counts = np.concatenate([pdf["p"].to_numpy(), pdf["n"].to_numpy()])
+        n, rng, values = int(counts.sum()), _seeded(seed, *key), []
+        step = max(1, 4_000_000 // len(counts))
+        for lo in range(0, runs, step):
+            got = rng.multinomial(n, counts / n, min(step, runs - lo))
+            pos, neg = got[:, : len(pdf)], got[:, len(pdf) :]
+            area = (pos * (2 * np.cumsum(neg, axis=1) - neg)).sum(axis=1)
+            pairs = 2.0 * pos.sum(axis=1) * neg.sum(axis=1)
+            values.append(np.divide(area, pairs, out=np.full(len(got), np.nan), where=pairs > 0))
+        value = np.concatenate(values)
+        out = pd.DataFrame({"run": range(runs), "auroc": pd.array(value, "Float64")})
+        out.loc[np.isnan(value), "auroc"] = pd.NA
+        return out.assign(**dict(zip(by, key, strict=True)))[[*by, "run", "auroc"]]
+
+    # A group's cells are its distinct scores by label; its list has ``runs`` values at most.
+    drawn = cells.groupBy(*by).applyInPandas(replicate, f"{schema}, run int, auroc double")
+    tail = (1 - level) / 2
+    got = drawn.groupBy(*by).agg(F.avg("auroc").alias("mean"), F.collect_list(F.round("auroc", 4)).alias("v"))
+    bound = lambda share, upper: F.when(F.size("v") > 0, index_percentile(F.col("v"), share, upper))
+    return got.select(*by, "mean", bound(tail, False).alias("low"), bound(1 - tail, True).alias("high"))
+
+
 def removed_to_keep(approved: Column, removed: Column, rate: Column) -> Column:
     """Removed rows in a resample at a rate: half to even, at least one, at most all."""
     want = F.bround(rate * approved / (1.0 - rate)).cast("long")
