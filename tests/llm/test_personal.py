@@ -105,3 +105,23 @@ def test_lists_of_numbers(text, masked):
 def test_long_list_of_numbers():
     text = "passports, or rather passport numbers: " + ", ".join(f"A{1234567 + i}" for i in range(50))
     assert [k for _, _, k in Finder()(text)] == ["id_number"] * 50
+
+
+@pytest.mark.parametrize(
+    "text,mention",
+    [
+        ("I asked Anna Li about it", "Anna Li"),
+        ("then Thomas Long came", "Thomas Long"),
+        ("then Mary Lane came", "Mary Lane"),
+        ("Mein Name ist Priya Sharma, hallo", "Priya Sharma"),
+        ("Kind regards,\nPriya Sharma", "Priya Sharma"),
+        ("we spoke with Priya K. Sharma", "Priya K. Sharma"),
+    ],
+)
+def test_short_and_unlisted_names(text, mention):
+    assert [(text[a:b], k) for a, b, k in Finder()(text)] == [(mention, "name")]
+
+
+@pytest.mark.parametrize("text", ["Anna Is late", "the shop on Mary Lane today", "anna li", "how long did thomas long for it", "Kind regards, the whole team"])
+def test_no_short_names(text):
+    assert Finder()(text) == []

@@ -59,6 +59,8 @@ sus tiene un una y ya
 edit ps tldr lol street road lane drive avenue band festival
 """.split()
 )
+# Of these, the ones that are surnames after a given name where both are capitalised.
+ALSO_SURNAMES = set("best lane long small".split())
 # Words that end the name of a street.
 STREET_TYPES = (
     "street st road rd avenue ave lane ln drive dr close court ct crescent cres terrace way boulevard blvd place "
@@ -80,7 +82,12 @@ ID_CUES = {
 }
 AT_CUES = ("@", "[at]", "(at)", "{at}", "(ät)", "[dot]", "(dot)", "{dot}", " dot ", "\ndot", "mailto:")
 # Given-name cues that a neighbouring word turns into one: X is the person meant.
-NAME_CUES = ("signed,", "ask for", "talked to", "s'appelle", "se llama", "my name is", "belongs to", "heißt")
+NAME_CUES = (
+    "signed,", "ask for", "talked to", "s'appelle", "se llama", "my name is", "belongs to", "heißt", "talked with",
+    "spoke to", "spoke with", "his name is", "her name is", "their name is", "full name is", "real name is", "my name's",
+    "my name’s", "full name:", "sincerely,", "regards,", "yours truly,", "ich heiße", "mein name ist", "m'appelle",
+    "m’appelle", "s’appelle", "mon nom est", "me llamo", "mi nombre es",
+)
 
 _SP = r"[^\S\n]*\r?\n?[^\S\n]*"  # white space without an empty line
 _GAP = r"(?:[^\S\n]+|[^\S\n]*\r?\n[^\S\n]*)"
@@ -174,9 +181,15 @@ def _case(word: str) -> str:
     return "title" if word[0].isupper() else "lower"
 
 
-def is_surname(word: str, beside: str) -> bool:
-    """Whether a word can be the surname of a given name or title written as ``beside``."""
+def is_surname(word: str, beside: str, given: bool = False) -> bool:
+    """Whether a word can be the surname of a given name or title written as ``beside``.
+
+    After a listed given name, ``given``, capitalised ones may have two letters or be in ``ALSO_SURNAMES``.
+    """
     plain = word.lower()
+    if given and _case(beside) == _case(word) == "title":
+        if plain in ALSO_SURNAMES or (len(plain) == 2 and plain not in NOT_SURNAMES):
+            return True
     if len(plain) < 3 or any(p in NOT_SURNAMES for p in plain.split("-")):
         return False
     want, got = _case(beside), _case(word)
@@ -335,7 +348,9 @@ class Finder:
                 continue
             given = text[start:end]
             m = _AFTER_GIVEN.match(text, end)
-            if m and is_surname(m["surname"], given) and not (m["second"] and m["second"].lower() not in self.given):
+            if m and m["surname"] == "Lane" and _PLACE_BEFORE.search(text, max(0, start - 12), start):
+                m = None  # "on Mary Lane"
+            if m and is_surname(m["surname"], given, True) and not (m["second"] and m["second"].lower() not in self.given):
                 out.append((start, m.end(), "name"))
                 done = m.end()
                 continue
@@ -371,6 +386,7 @@ class Finder:
         return out
 
 
+_PLACE_BEFORE = re.compile(r"(?i)(?:\b(?:on|in|at|off|along|down|up|to|from|near|the|of)|\d)\s+$")
 _UNIT_BEFORE = re.compile(r"(?i)\b(?:unit|apt\.?|flat|suite|vitamin|plan|section|type|class|\w\.)\s*$")
 
 
