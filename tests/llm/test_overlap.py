@@ -121,3 +121,19 @@ def test_each_spacing_of_a_text_is_compared(spark):
             members, links = cross_split_overlaps(spark.createDataFrame(rows, SCHEMA).coalesce(1))
             assert [r.edits for r in links.collect()] == [1]
             assert {frozenset((r.eval_id, r.train_id)) for r in overlap_pairs(members, links).collect()} == {frozenset((1, 3)), frozenset((2, 3))}
+
+
+def test_lists_carry_over(spark):
+    listed, lost = "goal: paint the shed | cost: two hundred coins", "Goal paint the shed, cost two hundred coins"
+    turned = "cost: two hundred coins; goal: paint the shed"
+    pairs = lambda rows: {
+        (r.eval_id, r.train_id, r.edits)
+        for r in overlap_pairs(*cross_split_overlaps(spark.createDataFrame([(*r, None) for r in rows], SCHEMA))).collect()
+    }
+    assert pairs([(1, "test", lost), (2, "train", listed), (3, "train", turned)]) == {(1, 2, 0), (1, 3, 0)}
+    assert pairs([(1, "train", lost), (2, "test", listed), (3, "test", turned)]) == {(2, 1, 0), (3, 1, 0)}
+    # The same letters as two lists, each with a copy in the other order.
+    one, two = "red barn: left side | of town: north", "red barn: left | side of town: north"
+    one_turned, two_turned = "of town: north | red barn: left side", "side of town: north | red barn: left"
+    got = pairs([(1, "train", one), (2, "train", two), (3, "test", one_turned), (4, "train", two_turned)])
+    assert got == {(3, 1, 0), (3, 2, 0), (3, 4, 0)}

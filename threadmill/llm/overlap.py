@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threadmill.llm.canonical import FIELD_BREAK, MIN_LETTERS
+from threadmill.llm.components import connected_components
 from threadmill.runtime import shuffles_removed, task_count, write_shared
 
 #: Edits allowed for each word of the longer text.
@@ -663,7 +664,8 @@ def cross_split_overlaps(
 
     The first result is the membership ``(class, field, id, is_train)``, the
     second the links ``(eval_class, train_class, field, edits)``: equal texts
-    and equal lists of labelled fields have ``edits`` 0, near-same ones the
+    and equal lists of labelled fields have ``edits`` 0, as have texts that these
+    connect over other texts of either side, near-same ones the
     number of words inserted, dropped or replaced, at most one in five of the
     longer text, and the smallest number where copies are spaced differently. Letter case, punctuation and spacing do not count. Copies are
     in the membership, not in the links; :func:`overlap_pairs` expands them.
@@ -685,13 +687,18 @@ def cross_split_overlaps(
     equal = sides.where("t and not a").select(
         F.col("class").alias("eval_class"), F.col("class").alias("train_class"), F.lit(0).alias("edits"), "field"
     )
-    lists = texts.where("listed is not null").select("class", "field", "listed", "is_train").distinct()
+    # A list of fields stands for its class on either side, and classes that hold
+    # several lists connect these, so sameness carries over.
+    lists = texts.where("listed is not null").select("class", "field", "listed").distinct()
+    heads = lists.groupBy("class").agg(F.min("listed").alias("v"))
+    bridges = lists.join(heads, "class").where("listed <> v").select(F.col("listed").alias("u"), "v")
+    roots = connected_components(bridges).withColumnRenamed("node", "listed")
+    groups = lists.join(roots, "listed", "left").select("class", "field", F.coalesce("root", "listed").alias("group"))
+    groups = write_shared(groups.distinct().join(sides, ["class", "field"]), "lists")
     ordered = (
-        lists.where("not is_train")
-        .select(F.col("class").alias("eval_class"), "field", "listed")
-        .join(
-            lists.where("is_train").select(F.col("class").alias("train_class"), "listed"), "listed"
-        )
+        groups.where("not a")
+        .select(F.col("class").alias("eval_class"), "field", "group")
+        .join(groups.where("t").select(F.col("class").alias("train_class"), "group"), "group")
         .where("eval_class <> train_class")
         .select("eval_class", "train_class", F.lit(0).alias("edits"), "field")
     )
