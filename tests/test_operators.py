@@ -76,3 +76,17 @@ def test_rolling_loss_window(spark):
     assert got[1] == 1.0 and got[12] == pytest.approx(sum(range(7, 13)) / 6)
     short = {r.step: r.rolling for r in history.rolling_loss(df.where("step <= 10")).collect()}
     assert short[10] == 10.0
+
+
+def test_registered_with_the_values_of_the_reference(spark, sf, tmp_path):
+    from threadmill.plans import QUERIES
+
+    runs = QUERIES["bootstrap_rows_full"](spark, sf).select("run").distinct().count()
+    assert runs == 2000
+    text = "  " + " ".join(f"w{i}" for i in range(600))
+    rows = [(1, text, text), (2, None, "a b")]
+    spark.createDataFrame(rows, "sample_id long, body string, parent_body string").write.parquet(str(tmp_path / "demo_sample.parquet"))
+    got = {r.sample_id: r for r in QUERIES["text_left_words_full"](spark, str(tmp_path)).collect()}
+    assert (got[1].head.split(), got[1].parent_head.split()) == (text.split()[:512], text.split()[:256])
+    assert got[2].head is None and got[2].parent_head == "a b"
+    assert QUERIES["sample_reservoir_full"](spark, sf).count() > QUERIES["sample_reservoir"](spark, sf).count()

@@ -81,7 +81,8 @@ def bootstrap_by_rows(
     draws = sized.select(*by, "_n", "_i", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "run", "_i")), 1, 13), 16, 10).cast("long")
     draws = draws.select(*by, "run", (F.pmod(pick, "_n") + 1).alias("_i"))
-    return statistic(draws.join(ranked, [*by, "_i"]), [*by, "run"])
+    # The draws are ``runs`` times the rows, which the planner's estimate does not see: no broadcast.
+    return statistic(draws.hint("merge").join(ranked, [*by, "_i"]), [*by, "run"])
 
 
 def auroc_ci(

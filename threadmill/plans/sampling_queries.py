@@ -66,6 +66,16 @@ def sample_reservoir(spark, sf):
     return got.select("row_id")
 
 
+@query()
+def sample_reservoir_full(spark, sf):
+    """sample_reservoir with the reference's 200,000 rows a community."""
+    from threadmill.operators import audit
+
+    rows = audit.classify(read_table(spark, sf, "raw_comment"))
+    got = sampling.reservoir(rows, "subreddit", "row_id", 200_000, F.col("category") == "captured_removed")
+    return got.select("row_id")
+
+
 @query(f"""SELECT sample_id, label FROM (SELECT sample_id, label, row_number() OVER (PARTITION BY label ORDER BY {_draw('sample_id', 'strata')}, sample_id) AS r
 FROM demo_sample WHERE label IS NOT NULL) WHERE r <= 20""")
 def sample_stratified(spark, sf):
@@ -160,6 +170,13 @@ def bootstrap_rows(spark, sf):
     return resample.bootstrap_by_rows(pred, ["subreddit"], "id", 5, lambda d, by: evaluate.confusion(d, by))
 
 
+@query()
+def bootstrap_rows_full(spark, sf):
+    """bootstrap_rows with the reference's 2,000 resamples."""
+    pred = predictions(spark, sf).where("subreddit is not null").select("id", "subreddit", "label", "prediction")
+    return resample.bootstrap_by_rows(pred, ["subreddit"], "id", 2000, lambda d, by: evaluate.confusion(d, by))
+
+
 @query()
 def bootstrap_paired_delta(spark, sf):
     pred = predictions(spark, sf)

@@ -112,6 +112,12 @@ def text_left_words(spark, sf):
     return _demo(spark, sf, head=T.left_words(F.col("body"), 64))
 
 
+@query()
+def text_left_words_full(spark, sf):
+    """text_left_words with the reference's 512 tokens, and 256 for parents as in training."""
+    return _demo(spark, sf, head=T.left_words(F.col("body"), 512), parent_head=T.left_words(F.col("parent_body"), 256))
+
+
 @query(f"""SELECT source, count(*) AS n_docs, {S.big(f"sum({S.words('text')})")} AS words,
   {S.big(f"sum({S.count('text', 'https?://')})")} AS links,
   {S.big("sum(coalesce(length(text) - length(replace(text, '!', '')), 0))")} AS exclamations
