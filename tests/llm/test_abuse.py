@@ -32,7 +32,7 @@ def test_spellings_fold():
 
 def test_held_out_accuracy_and_quotes():
     texts, labels = corpus()
-    model = fit(texts, labels)
+    model = fit(texts, labels, steps=500)
     fresh, truth = corpus(300, seed=9)
     reader = Reader()
     score = predict(model, reader(fresh), reader)
@@ -43,17 +43,24 @@ def test_held_out_accuracy_and_quotes():
 
 def test_same_model_twice_and_blocks():
     texts, labels = corpus(200)
-    a, b = fit(texts, labels), fit(texts, labels)
+    a, b = fit(texts, labels, steps=500), fit(texts, labels, steps=500)
     reader = Reader()
     encoded = reader(texts)
     assert np.allclose(predict(a, encoded, reader), predict(b, encoded, reader, block=7), atol=1e-5)
 
 
+def test_texts_that_say_little_are_not_abuse():
+    texts, labels = corpus()
+    model = fit(texts, labels, steps=500)
+    reader = Reader()
+    assert (predict(model, reader(["[deleted]", "good bot", "", "ok", "same here"]), reader) < 0.4).all()
+
+
 def test_threshold_and_degenerate_samples():
     assert 0.3 < best_threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0])) < 0.7
     assert best_threshold(np.array([0.9]), np.array([0])) == 0.5
     for texts, labels in (([], []), (["only one kind"], [1]), (["a", "b"], [0, 0])):
-        model = fit(texts, labels)
+        model = fit(texts, labels, steps=500)
         reader = Reader()
         assert (predict(model, reader(["anything at all"]), reader) < 0.5).all()
 
@@ -64,13 +71,13 @@ def test_table(spark):
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "sample_id long, body string, subreddit string, score double")
     votes = [(i, "abusive" if y else "clean", "r") for i, y in enumerate(labels)] + [(1, "unsure", "r"), (None, "abusive", "r"), (5000, "clean", "r")]
     reviews = spark.createDataFrame(votes, "sample_id long, verdict string, reviewer string")
-    scored = score_abuse(df, train_on_reviews(df, reviews)).collect()
+    scored = score_abuse(df, train_on_reviews(df, reviews, steps=500)).collect()
     assert len(scored) == len(rows) and all(0 <= r.score <= 1 for r in scored)
     assert all(r.score == 0 and not r.abusive for r in scored if r.id in (900, 901))
     right = sum(r.abusive == bool(labels[r.id]) for r in scored if r.id < 120)
     assert right > 0.9 * 121
-    rates = {r.source: r for r in abuse_rates(score_abuse(df, train_on_reviews(df, reviews))).collect()}
+    rates = {r.source: r for r in abuse_rates(score_abuse(df, train_on_reviews(df, reviews, steps=500))).collect()}
     assert set(rates) == {"a", "b", None} and rates["b"].n_abusive == 0
-    blank = train_on_reviews(df, reviews.limit(0))
+    blank = train_on_reviews(df, reviews.limit(0), steps=500)
     assert not any(r.abusive for r in score_abuse(df, blank).collect())
     assert score_abuse(df.limit(0), blank).collect() == []
