@@ -1,21 +1,30 @@
 import random
 from collections import defaultdict
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from threadmill.operators import dedup, history, sampling, scoring
+from threadmill.operators import dedup, enrich, evaluate, history, lookups, ordered, sampling, scoring
 
 
-def comments(spark, n=300, seed=2):
+def comments(spark, n=300, seed=2, skewed=False):
     rng = random.Random(seed)
-    rows = [(i, f"a{rng.randrange(8)}", rng.randrange(400_000), f"t{rng.randrange(5)}", rng.choice([None, 1, -3, 9])) for i in range(n)]
+    who = lambda: rng.choice(["hot", "hot", None, "a0", "a1"]) if skewed else f"a{rng.randrange(8)}"
+    rows = [(i, who(), rng.randrange(400_000), f"t{rng.randrange(5)}", rng.choice([None, 1, -3, 9])) for i in range(n)]
     return spark.createDataFrame(rows, "row_id long, author string, created_utc long, link_id string, score long"), rows
 
 
-def test_history_against_a_loop(spark):
-    df, rows = comments(spark)
-    got = {r.row_id: r for r in history.author_history(df).collect()}
+def half_up(x):
+    return float(Decimal(repr(x)).quantize(Decimal("0.1"), ROUND_HALF_UP))
+
+
+@pytest.mark.parametrize("hot", [10**6, 60])
+def test_history_against_a_loop(spark, hot):
+    """With 60, the author of half of the rows and the missing one are cut into days."""
+    df, rows = comments(spark, skewed=True)
+    got = {r.row_id: r for r in history.author_history(df, hot=hot).collect()}
+    assert len(got) == len(rows)
     past = defaultdict(list)
     for i, author, t, link, score in sorted(rows, key=lambda r: (r[2], r[0])):
         before = past[author]
@@ -24,7 +33,8 @@ def test_history_against_a_loop(spark):
         assert r.vel_24h == sum(x[0] > t - 86_400 for x in before)
         assert r.unique_threads == len({x[1] for x in before})
         assert r.max_in_thread == max((sum(y[1] == x[1] for y in before) for x in before), default=0)
-        assert r.avg_score == pytest.approx(sum(x[2] for x in before) / len(before) if before else 0.0)
+        assert r.avg_score == half_up(sum(x[2] for x in before) / len(before) if before else 0.0)
+        assert r.days_active == half_up((t - before[0][0]) / 86_400 if before else 0.0)
         before.append((t, link, 1 if score is None else score))
 
 
@@ -90,3 +100,66 @@ def test_registered_with_the_values_of_the_reference(spark, sf, tmp_path):
     assert (got[1].head.split(), got[1].parent_head.split()) == (text.split()[:512], text.split()[:256])
     assert got[2].head is None and got[2].parent_head == "a b"
     assert QUERIES["sample_reservoir_full"](spark, sf).count() > QUERIES["sample_reservoir"](spark, sf).count()
+
+
+def test_running_totals_of_a_group_with_half_of_the_rows(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["hot", "hot", None, "b"]), rng.random()) for i in range(600)]
+    df = spark.createDataFrame(rows, "i long, g string, x double")
+    for down in (False, True):
+        cut = ordered.even_buckets(df, ["g"], "x", down=down)
+        order = [F.desc("x") if down else F.col("x")]
+        got = {r.i: r for r in ordered.running_totals(cut, ["g"], order, {"r": F.lit(1), "s": F.col("i")}).collect()}
+        for g in ("hot", None, "b"):
+            own = sorted((r for r in rows if r[1] == g), key=lambda r: -r[2] if down else r[2])
+            total = 0
+            for k, (i, _, _) in enumerate(own, 1):
+                total += i
+                assert (got[i].r, got[i].s, got[i].r_all) == (k, total, len(own))
+    empty = ordered.running_totals(ordered.even_buckets(df.limit(0), ["g"], "x"), ["g"], ["x"], {"r": F.lit(1)})
+    assert empty.collect() == []
+
+
+def test_pairs_take_the_last_of_repeated_ids(spark):
+    shape = "id string, at long, label string, prediction string"
+    a = spark.createDataFrame([("x", 1, "removed", "False"), ("x", 2, "removed", "True"), ("y", 1, "approved", "True"), (None, 1, "removed", "True")], shape)
+    b = spark.createDataFrame([("x", 5, "removed", "True"), ("x", 9, "removed", "False"), (None, 1, "removed", "True")], shape)
+    got = evaluate.paired(a, b, "at").collect()
+    assert [(r.id, r.pred_a, r.pred_b) for r in got] == [("x", "True", "False")]
+
+
+def test_oldest_activity_takes_posts_first(spark):
+    rows = [("a", 5, "oldest_comment"), ("a", 9, "oldest_post"), ("b", 3, "oldest_comment"), ("b", 8, "comment_author_created_utc"),
+            ("c", 7, None), ("c", 9, "elsewhere"), ("d", 0, "oldest_post"), ("[deleted]", 4, "oldest_post")]
+    df = spark.createDataFrame(rows, "author string, account_created_utc long, source string")
+    got = {r.author: (r.account_created_utc, r.source) for r in lookups.oldest_activity(df).collect()}
+    assert got == {"a": (9, "oldest_post"), "b": (8, "comment_author_created_utc"), "c": (9, "elsewhere")}
+
+
+def test_flair_and_edits(spark):
+    rows = [(" ", "false", True), ("none", "1700000000.0", None), (None, "false", False), (" x ", None, None)]
+    df = spark.createDataFrame(rows, "author_flair_text string, edited string, is_edited boolean").withColumns(
+        {"parent_id": F.lit("t3_a"), "body": F.lit("b"), "parent_body": F.lit(""), "is_submitter": F.lit(None).cast("boolean")}
+    )
+    got = enrich.enrich_context(df).collect()
+    assert [r.has_author_flair for r in got] == [False, True, False, True]
+    assert [r.is_edited_bool for r in got] == [True, True, False, False]
+    assert [r.author_flair_clean for r in got] == ["", "none", "none", "x"]
+
+
+def test_spam_of_missing_authors_and_groups(spark):
+    rows = [(i, None if i % 2 else "a", None, "buy now") for i in range(6)] + [(9, "a", None, "fine")]
+    df = spark.createDataFrame(rows, "row_id long, author string, category string, body string")
+    assert [r.row_id for r in dedup.remove_spam(df, ["category"]).collect()] == [9]
+
+
+def test_author_features_rules_and_missing_values(spark):
+    base = spark.createDataFrame([("a", "Sub", ""), ("b", "none", "t"), (None, None, "t")], "id string, subreddit string, post_title string")
+    known = spark.createDataFrame([("a", 3, 1, 2.5, 2, 0.5, False, 2)], "id string, n_prior long, vel_24h long, avg_score double, "
+                                  "unique_threads long, days_active double, is_first boolean, max_in_thread long")
+    rules = spark.createDataFrame([("sub", "1. Be kind")], "subreddit string, rules_text string")
+    rows = lookups.attach_rules(lookups.attach_author_features(base, known), rules)
+    got = {r.id: r for r in rows.collect()}
+    assert got["a"].author_features_found and got["a"].author_n_prior == 3 and got["a"].rules_text == "1. Be kind"
+    for i in ("b", None):
+        assert not got[i].author_features_found and got[i].author_is_first and got[i].author_avg_score == 0.0 and got[i].rules_text == ""

@@ -73,6 +73,11 @@ def keep_comment(author: Column, body: Column, distinguished: Column) -> Column:
     return ~drop
 
 
+def in_communities(community: Column, wanted: list[str]) -> Column:
+    """Whether the row is of one of some communities, letter case aside."""
+    return F.coalesce(F.lower(community).isin(*[w.lower() for w in wanted]), F.lit(False))
+
+
 def readable(comment_id: Column, body: Column) -> Column:
     """An id, and a text that is neither empty nor a stub."""
     return F.coalesce((comment_id != "") & (body != "") & ~body.isin(*STUBS), F.lit(False))

@@ -82,12 +82,17 @@ def sentence_count(text: Column) -> Column:
     return F.when(is_blank(text), 0).otherwise(_count(text, r"[.!?]+") + 1).cast("long")
 
 
+#: All start at the border of a word, which is tested once for all.
+_PROFANE = r"(?iU)\b(?:" + "|".join(p.removeprefix(r"\b") for p in PROFANITY) + ")"
+
+
 def profanity_count(text: Column) -> Column:
-    return _count(text, "(?iU)" + "|".join(PROFANITY))
+    return _count(text, _PROFANE)
 
 
 def has_profanity(text: Column) -> Column:
-    return F.coalesce(text.rlike("(?iU)" + "|".join(PROFANITY)), F.lit(False))
+    """Whether the count is above 0; beside the count, the text is searched once for both."""
+    return profanity_count(text) > 0
 
 
 def paragraph_count(text: Column) -> Column:

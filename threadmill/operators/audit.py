@@ -73,6 +73,22 @@ def presence_counts(df: DataFrame, tests: dict[str, Column], by: str | None = No
     return out.withColumns(share)
 
 
+def missing_values(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Rows without a title, and rows whose author should have a history but has none."""
+    gone = (F.col("author_n_prior") == 0) & ~F.col("author_is_first")
+    return (df.groupBy(by) if by else df.groupBy()).agg(
+        F.count("*").alias("total"),
+        F.count_if(F.coalesce("post_title", F.lit("")) == "").alias("missing_titles"),
+        F.count_if(gone).alias("missing_author"),
+    )
+
+
+def parsed_predictions(df: DataFrame, prediction: str = "prediction") -> tuple[DataFrame, DataFrame]:
+    """Rows with a prediction, and one row ``(n_kept, n_failed)``: how many have one and how many do not."""
+    has = F.coalesce(~F.col(prediction).isin("", "unparseable"), F.lit(False))
+    return df.where(has), df.agg(F.count_if(has).alias("n_kept"), F.count_if(~has).alias("n_failed"))
+
+
 def author_overlap(df: DataFrame, left: str, right: str, split_col: str = "split") -> DataFrame:
     """Authors that occur in both of two splits: one pass, no join."""
     flags = (

@@ -18,12 +18,12 @@ def spam_bodies(
 
     Rows are first counted by (group, digest, author), with map-side combine,
     so that a body of many copies does not move its copies; the digest keeps
-    the text out of the exchange.
+    the text out of the exchange. A missing author is an author of its own.
     """
     digest = F.sha2(strip(F.col("body")), 256)
     per_author = (
         df.where(F.col("body").isNotNull())
-        .groupBy(*by, digest.alias("digest"), "author")
+        .groupBy(*by, digest.alias("digest"), F.coalesce("author", F.lit("")).alias("author"))
         .agg(F.count("*").alias("n"))
     )
     return (
@@ -34,10 +34,14 @@ def spam_bodies(
 
 
 def remove_spam(df: DataFrame, by: list[str], copies: int = SPAM_COPIES, authors: int = SPAM_AUTHORS) -> DataFrame:
-    """Rows whose body is not spam; all copies of a spam body go."""
-    spam = spam_bodies(df, by, copies, authors).select(*by, "digest")
-    keyed = df.withColumn("digest", F.sha2(strip(F.col("body")), 256))
-    return keyed.join(spam, [*by, "digest"], "left_anti").drop("digest")
+    """Rows whose body is not spam; all copies of a spam body go. A null group is a group like any other."""
+    spam = spam_bodies(df, by, copies, authors)
+    spam = spam.select(*[F.col(c).alias(f"_spam_{i}") for i, c in enumerate(by)], F.col("digest").alias("_spam"))
+    keyed = df.withColumn("_digest", F.sha2(strip(F.col("body")), 256))
+    same = keyed["_digest"] == spam["_spam"]
+    for i, c in enumerate(by):
+        same &= keyed[c].eqNullSafe(spam[f"_spam_{i}"])
+    return keyed.join(spam, same, "left_anti").drop("_digest")
 
 
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -21,14 +21,23 @@ def extract_features(df: DataFrame) -> DataFrame:
 
 
 def enrich_context(df: DataFrame) -> DataFrame:
-    """Flags, flair and sizes of the comment and its parent."""
+    """Flags, flair and sizes of the comment and its parent.
+
+    A comment is edited by its own ``is_edited`` or that of ``_meta``, where
+    there are such columns, or by ``edited``.
+    """
+    marked = F.lit(False)
+    if "is_edited" in df.columns:
+        marked = F.col("is_edited")
+    elif "_meta" in df.columns:
+        marked = F.col("_meta.is_edited")
     body, parent = F.coalesce("body", F.lit("")), F.coalesce("parent_body", F.lit(""))
     return df.withColumns(
         {
             "is_top_level": C.is_top_level(F.col("parent_id")),
-            "is_edited_bool": C.truthy(F.col("edited")),
+            "is_edited_bool": C.is_edited(marked, F.col("edited")),
             "author_flair_clean": C.clean_flair(F.col("author_flair_text")),
-            "has_author_flair": C.clean_flair(F.col("author_flair_text")) != "none",
+            "has_author_flair": T.strip(F.coalesce("author_flair_text", F.lit(""))) != "",
             "is_submitter_bool": F.coalesce("is_submitter", F.lit(False)),
             "word_count": T.word_count(body),
             "char_count": T.char_count(body),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmill.functions import metrics as M
+from threadmill.operators.ordered import even_buckets, null_safe, running_totals
 
 
 def confusion(df: DataFrame, by: list[str], strict: bool = True) -> DataFrame:
@@ -42,6 +43,33 @@ def scores(df: DataFrame, by: list[str], names: list[str] | None = None, digits:
     return confusion(df, by).select(*by, "tp", "fp", "tn", "fn", "unparseable", *M.statistics(names, digits))
 
 
+def metric_bundle(df: DataFrame, by: list[str], runs: int = 2000, seed: int = 42) -> DataFrame:
+    """Everything reported of a run in one row: counts, statistics, AUROC and four intervals.
+
+    ``total_evaluated`` are the parseable rows, ``total_attempted`` all.
+    Statistics have four digits; the intervals are those of
+    :func:`resample.bootstrap_ci`; AUROC is null without both classes.
+    """
+    from threadmill.operators.resample import bootstrap_ci
+
+    counts = confusion(df, by)
+    names = ["f1", "precision", "recall", "accuracy"]
+    bounds = bootstrap_ci(counts, by, names, runs, seed=seed)
+    pick = lambda n, c: F.max(F.when(F.col("metric") == n, F.col(c))).alias(f"{n}_{c[3:]}")
+    wide = bounds.groupBy(*by).agg(*[pick(n, c) for n in names for c in ("ci_low", "ci_high")])
+    evaluated = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
+    base = counts.select(
+        *by, "tp", "fp", "tn", "fn", "unparseable", evaluated.alias("total_evaluated"),
+        (evaluated + F.col("unparseable")).alias("total_attempted"), *M.statistics([*names, "kappa"], 4),
+    )
+    area = auroc(df, by).withColumn("auroc", F.round("auroc", 4))
+    for side in (area, wide):
+        right = side.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], *[c for c in side.columns if c not in by])
+        same = null_safe(base, right, [(c, f"_g{i}") for i, c in enumerate(by)])
+        base = base.join(right, same, "left").drop(*[f"_g{i}" for i in range(len(by))])
+    return base
+
+
 def macro_means(per_group: DataFrame, names: list[str], by: list[str] | None = None) -> DataFrame:
     """Unweighted means over groups."""
     means = [F.avg(n).alias(n) for n in names]
@@ -60,8 +88,7 @@ def auroc(df: DataFrame, by: list[str], confidence: str = "confidence") -> DataF
         .groupBy(*by, F.col(confidence).alias("c"))
         .agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
     )
-    below = Window.partitionBy(*by).orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = cells.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    ranked = running_totals(even_buckets(cells, by, "c"), by, ["c"], {"under": F.col("n")}, inclusive=False)
     area = F.sum(F.col("p") * (F.col("under") * 2 + F.col("n")))
     pairs = (F.sum("p") * F.sum("n") * 2).cast("double")
     return ranked.groupBy(*by).agg(F.try_divide(area.cast("double"), pairs).alias("auroc"))
@@ -75,8 +102,9 @@ def roc_curve(df: DataFrame, by: list[str], confidence: str = "confidence") -> D
         .groupBy(*by, F.col(confidence).alias("threshold"))
         .agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
     )
-    down = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    return cells.select(*by, "threshold", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"))
+    cut = even_buckets(cells, by, "threshold", down=True)
+    curve = running_totals(cut, by, [F.desc("threshold")], {"tp": F.col("p"), "fp": F.col("n")})
+    return curve.select(*by, "threshold", "tp", "fp")
 
 
 def auroc_by_rows(df: DataFrame, by: list[str], order: str, confidence: str = "confidence", least: int = 10) -> DataFrame:
@@ -84,8 +112,8 @@ def auroc_by_rows(df: DataFrame, by: list[str], order: str, confidence: str = "c
     null below ``least`` scored rows or with one class."""
     positive = F.coalesce(F.col("label") == "removed", F.lit(False)).cast("long")
     rows = df.where(F.col(confidence).isNotNull()).withColumn("_p", positive)
-    upto = Window.partitionBy(*by).orderBy(F.desc(confidence), order).rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.withColumn("_tp", F.sum("_p").over(upto))
+    cut = even_buckets(rows, by, confidence, down=True)
+    seen = running_totals(cut, by, [F.desc(confidence), order], {"_tp": F.col("_p")})
     # Only a negative row moves the curve to the right, at the height reached.
     area = F.sum(F.when(F.col("_p") == 0, F.col("_tp")).otherwise(0))
     p, n = F.sum("_p"), F.count_if(F.col("_p") == 0)
@@ -100,11 +128,17 @@ def confidence_stats(df: DataFrame, by: list[str], confidence: str = "confidence
     )
 
 
-def paired(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of two models on the same ids, the last of repeated ids, the label of the first."""
-    left = a.select(key, "label", F.col("prediction").alias("pred_a"))
-    right = b.select(key, F.col("prediction").alias("pred_b"))
-    return left.join(right, key)
+def paired(a: DataFrame, b: DataFrame, order: str, key: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, keep..., label, pred_a, pred_b)`` of the ids that two models share.
+
+    Of repeated ids the last by ``order`` counts on either side; label and the
+    columns to keep are the first model's. A null id pairs with nothing.
+    """
+    last = lambda df, *cols: (
+        df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("_row")).select(key, "_row.*")
+    )
+    left = last(a, *keep, "label", F.col("prediction").alias("pred_a"))
+    return left.join(last(b, F.col("prediction").alias("pred_b")), key)
 
 
 def _correct(label: Column, prediction: Column) -> Column:
@@ -175,6 +209,7 @@ def ablation_table(per_condition: DataFrame, condition: str, names: list[str], b
     return joined.withColumns({f"{n}_delta": F.col(n) - F.col(f"{n}_0") for n in names}).drop(*[f"{n}_0" for n in names])
 
 
+# What each condition hides, and the constants put in its place.
 MASKS = {
     "baseline": {},
     "post_metadata": {"post_title": ""},

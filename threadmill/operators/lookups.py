@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from threadmill.functions.comment import account_age, bare_link, hours_since, parent_comment, readable
 from threadmill.operators.dedup import latest_value
 
+# Where the stamp of an account comes from, the best first.
+AGE_SOURCES = (
+    "post_author_created_utc", "author_created_utc", "oldest_post", "comment_author_created_utc", "oldest_comment",
+)
+
 
 def parent_index(comments: DataFrame) -> DataFrame:
     """``(id, parent_body)`` of readable comments; of several deliveries the last counts."""
@@ -41,16 +46,24 @@ def parent_stats(resolved: DataFrame) -> DataFrame:
 
 
 def attach_title(comments: DataFrame, titles: DataFrame) -> DataFrame:
-    """Adds ``post_title`` by bare link id, then by the id as it stands, else ``''``."""
-    one = titles.groupBy("link_id").agg(F.max("title").alias("title"))
-    bare = one.select(F.col("link_id").alias("_bare"), F.col("title").alias("_t1"))
-    raw = one.select(F.col("link_id").alias("_raw"), F.col("title").alias("_t2"))
-    keyed = comments.withColumns({"_bare": bare_link(F.col("link_id")), "_raw": F.col("link_id")})
+    """Adds ``post_title`` by bare link id, then by the id as it stands, else ``''``.
+
+    Both sides meet on the bare id, so the comments move once; the spellings of
+    an id in the titles are kept in a map, which has one entry for each.
+    """
+    one = titles.where("link_id is not null").groupBy("link_id").agg(F.max("title").alias("title"))
+    bare = bare_link(F.col("link_id"))
+    spelled = F.when(bare != F.col("link_id"), F.struct("link_id", "title"))
+    both = one.groupBy(bare.alias("_bare")).agg(
+        F.max(F.when(bare == F.col("link_id"), F.col("title"))).alias("_t1"),
+        F.map_from_entries(F.collect_list(spelled)).alias("_t2"),
+    )
+    keyed = comments.withColumn("_bare", bare_link(F.col("link_id")))
+    other = F.try_element_at("_t2", F.col("link_id"))
     return (
-        keyed.join(bare, "_bare", "left")
-        .join(raw, "_raw", "left")
-        .withColumn("post_title", F.coalesce("_t1", "_t2", F.lit("")))
-        .drop("_bare", "_raw", "_t1", "_t2")
+        keyed.join(both, "_bare", "left")
+        .withColumn("post_title", F.coalesce("_t1", other, F.lit("")))
+        .drop("_bare", "_t1", "_t2")
     )
 
 
@@ -77,11 +90,18 @@ def attach_post(comments: DataFrame, posts: DataFrame) -> DataFrame:
 
 
 def oldest_activity(ages: DataFrame) -> DataFrame:
-    """``(author, account_created_utc, source)``: a positive stamp of an earlier source first, then the oldest."""
+    """``(author, account_created_utc, source)``: the oldest positive stamp of the best source.
+
+    Sources are tried in the order of ``AGE_SOURCES``; others, and null, come
+    last, by name.
+    """
     rows = ages.where("account_created_utc > 0 and author is not null and author <> '[deleted]'")
-    return rows.groupBy("author").agg(F.min(F.struct("source", "account_created_utc")).alias("m")).select(
-        "author", "m.account_created_utc", "m.source"
-    )
+    rank = F.coalesce(
+        *[F.when(F.col("source") == s, F.lit(i)) for i, s in enumerate(AGE_SOURCES)],
+        F.when(F.col("source").isNotNull(), F.lit(len(AGE_SOURCES))), F.lit(len(AGE_SOURCES) + 1),
+    )
+    best = F.min(F.struct(rank.alias("rank"), "source", "account_created_utc")).alias("m")
+    return rows.groupBy("author").agg(best).select("author", "m.account_created_utc", "m.source")
 
 
 def attach_account_age(comments: DataFrame, ages: DataFrame) -> DataFrame:
@@ -94,10 +114,42 @@ def attach_account_age(comments: DataFrame, ages: DataFrame) -> DataFrame:
     )
 
 
-def attach_small(df: DataFrame, side: DataFrame, key: str, most: int = 100_000) -> DataFrame:
-    """Left join of a side with one row for each key; broadcast only while it has at most ``most`` rows."""
-    small = side.limit(most + 1).count() <= most
-    return df.join(F.broadcast(side) if small else side, key, "left")
+#: Features of an author before a comment, as (name in the history, name in the row, value where unknown).
+AUTHOR_FEATURES = (
+    ("n_prior", "author_n_prior", 0), ("vel_24h", "author_vel_24h", 0), ("avg_score", "author_avg_score", 0.0),
+    ("unique_threads", "author_unique_threads", 0), ("days_active", "author_days_active", 0.0),
+    ("is_first", "author_is_first", True), ("max_in_thread", "author_max_in_thread", 0),
+)
+
+
+def attach_author_features(df: DataFrame, features: DataFrame, key: str = "id") -> DataFrame:
+    """Adds the author's history features by comment id, with defaults, and ``author_features_found``.
+
+    ``features`` is a history with one row for each id; a null id finds nothing.
+    """
+    side = features.select(
+        key, F.lit(True).alias("_found"), *[F.col(a).alias(b) for a, b, _ in AUTHOR_FEATURES]
+    )
+    joined = df.join(side, key, "left")
+    filled = {b: F.coalesce(b, F.lit(v)) for _, b, v in AUTHOR_FEATURES}
+    return joined.withColumns(filled | {"author_features_found": F.coalesce("_found", F.lit(False))}).drop("_found")
+
+
+def attach_rules(df: DataFrame, rules: DataFrame, key: str = "subreddit") -> DataFrame:
+    """Adds ``rules_text`` of the row's community, letter case aside, ``''`` where there is none."""
+    side = rules.groupBy(F.lower(key).alias("_community")).agg(F.max("rules_text").alias("rules_text"))
+    return attach_small(df.withColumn("_community", F.lower(key)), side, "_community").withColumn(
+        "rules_text", F.coalesce("rules_text", F.lit(""))
+    ).drop("_community")
+
+
+def attach_small(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Left join of a side with one row for each key, as a rule a small one.
+
+    There is no broadcast hint: the session's threshold in bytes and adaptive
+    execution, which measures the side, choose the join.
+    """
+    return df.join(side, key, "left")
 
 
 def attach_missing_fields(df: DataFrame, raw: DataFrame, fields: list[str], key: str = "id") -> DataFrame:

@@ -11,11 +11,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadmill.functions import metrics as M
-from threadmill.operators.sampling import draw
+from threadmill.operators.ordered import even_buckets, running_totals
+from threadmill.operators.sampling import drawn_ranks
 
 CELLS = ("tp", "fp", "tn", "fn")
 
@@ -72,17 +73,17 @@ def bootstrap_by_rows(
 ) -> DataFrame:
     """Resamples of rows for statistics that are no function of the cells, such as AUROC.
 
-    Row i of a group is drawn as often as a replicate's hashes name it: each
+    Rows are numbered by ``order``, a number. Row i of a group is drawn as often as a replicate's hashes name it: each
     (replicate, position) hashes to an index, and indexes meet rows by an
     equi-join. ``statistic`` gets the resampled table and its keys.
     """
-    ranked = df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
-    sized = ranked.withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    draws = sized.select(*by, "_n", "_i", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
+    ranked = running_totals(even_buckets(df, by, order), by, [order], {"_i": F.lit(1)})
+    ranked = ranked.withColumnRenamed("_i_all", "_n")
+    draws = ranked.select(*by, "_n", "_i", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "run", "_i")), 1, 13), 16, 10).cast("long")
     draws = draws.select(*by, "run", (F.pmod(pick, "_n") + 1).alias("_i"))
     # The draws are ``runs`` times the rows, which the planner's estimate does not see: no broadcast.
-    return statistic(draws.hint("merge").join(ranked, [*by, "_i"]), [*by, "run"])
+    return statistic(draws.hint("merge").join(ranked.drop("_n"), [*by, "_i"]), [*by, "run"])
 
 
 def auroc_ci(
@@ -138,12 +139,8 @@ def prevalence_sample(df: DataFrame, by: list[str], key: str, rate: Column | flo
     rate = F.lit(rate) if isinstance(rate, float) else rate
     removed = F.coalesce(F.col("label") == "removed", F.lit(False))
     sizes = df.groupBy(*by).agg(F.count_if(removed).alias("_r"), F.count_if(~removed).alias("_a"))
-    ranked = df.withColumns(
-        {
-            "_removed": removed,
-            "_k": F.row_number().over(Window.partitionBy(*by, removed).orderBy(draw(key, seed, f"rate{run}"), key)),
-        }
-    ).join(sizes, by)
+    ranked = drawn_ranks(df.withColumn("_removed", removed), [*by, "_removed"], key, seed, f"rate{run}")
+    ranked = ranked.withColumnRenamed("_r", "_k").drop("_r_all").join(sizes, by)
     whole = (F.col("_r") == 0) | (F.col("_a") == 0) | (rate <= 0) | (rate >= 1)
     most = F.when(whole, F.col("_r")).otherwise(removed_to_keep(F.col("_a"), F.col("_r"), rate))
     return ranked.where(~F.col("_removed") | (F.col("_k") <= most)).drop("_removed", "_k", "_r", "_a")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadmill.operators.ordered import running_totals
+
 SEED = 42
 
 
@@ -18,6 +20,16 @@ def _rank(by: list[str], key: str, seed: int, tag: str) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(draw(key, seed, tag), key))
 
 
+def drawn_ranks(df: DataFrame, by: list[str], key: str, seed: int = SEED, tag: str = "") -> DataFrame:
+    """Adds ``_r``, the rank of a row in the random order of its group, and ``_r_all``, the group's size.
+
+    Rows are ranked within (group, leading hex digits of the draw) and offset
+    by the counts before, so that a hot group is cut over 256 tasks.
+    """
+    rows = df.withColumn("_draw", draw(key, seed, tag)).withColumn("_bucket", F.substring("_draw", 1, 2))
+    return running_totals(rows, by, ["_draw", key], {"_r": F.lit(1)}).drop("_draw")
+
+
 def bottom_k(df: DataFrame, by: list[str], key: str, k: int, seed: int = SEED, tag: str = "") -> DataFrame:
     """``k`` rows of each group with equal chances; a rank filter that Spark limits before its shuffle."""
     return df.withColumn("_r", _rank(by, key, seed, tag)).where(F.col("_r") <= k).drop("_r")
@@ -57,24 +69,11 @@ def random_split(
 ) -> DataFrame:
     """Adds ``split``: the first ``int(n * (1 - share))`` rows of a group in random order train.
 
-    Exact sizes need ranks. Rows are ranked within (group, leading hex digits
-    of the draw) and offset by the counts before, so that a hot group is cut
-    over 256 tasks.
+    Exact sizes need ranks, see :func:`drawn_ranks`.
     """
-    rows = df.withColumns({"_d": draw(key, seed, "split")}).withColumn("_b", F.substring("_d", 1, 2))
-    held = rows.groupBy(by, "_b").agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = held.select(
-        by, "_b",
-        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"),
-        F.sum("_c").over(Window.partitionBy(by)).alias("_n"),
-    )
-    rank = F.row_number().over(Window.partitionBy(by, "_b").orderBy("_d", key)) + F.col("_o")
-    joined = rows.join(offsets, [by, "_b"]).withColumn("_r", rank)
-    cut = F.floor(F.col("_n") * F.lit(1 - test_share) + 1e-9)
-    return joined.withColumn("split", F.when(F.col("_r") <= cut, "train").otherwise("test")).drop(
-        "_d", "_b", "_o", "_n", "_r"
-    )
+    ranked = drawn_ranks(df, [by], key, seed, "split")
+    cut = F.floor(F.col("_r_all") * F.lit(1 - test_share) + 1e-9)
+    return ranked.withColumn("split", F.when(F.col("_r") <= cut, "train").otherwise("test")).drop("_r", "_r_all")
 
 
 def author_split(
@@ -104,10 +103,9 @@ def author_split(
 
 def label_split(df: DataFrame, by: str, label: str, key: str, train_share: float = 0.8, seed: int = SEED) -> DataFrame:
     """Adds ``split``, cut within each class at the rounded share."""
-    n = F.count("*").over(Window.partitionBy(by, label))
-    ranked = df.withColumns({"_n": n, "_r": _rank([by, label], key, seed, "label")})
-    cut = F.bround(F.col("_n") * F.lit(train_share))
-    return ranked.withColumn("split", F.when(F.col("_r") <= cut, "train").otherwise("test")).drop("_n", "_r")
+    ranked = drawn_ranks(df, [by, label], key, seed, "label")
+    cut = F.bround(F.col("_r_all") * F.lit(train_share))
+    return ranked.withColumn("split", F.when(F.col("_r") <= cut, "train").otherwise("test")).drop("_r", "_r_all")
 
 
 def first_n(df: DataFrame, order: str, n: int, by: list[str] | None = None) -> DataFrame:

@@ -47,19 +47,16 @@ def filter_readable(spark, sf):
 @query("""SELECT subreddit, count(*) AS n FROM raw_comment
 WHERE lower(subreddit) IN ('askthearchive', 'kitchenscience', 'questboard') GROUP BY subreddit""")
 def filter_communities(spark, sf):
-    wanted = F.lower("subreddit").isin("askthearchive", "kitchenscience", "questboard")
+    wanted = C.in_communities(F.col("subreddit"), ["AskTheArchive", "kitchenscience", "QuestBoard"])
     return _raw(spark, sf).where(wanted).groupBy("subreddit").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT row_id, id, subreddit, body, score, created_utc, parent_id, link_id, is_submitter, controversiality,
-  coalesce(_meta.is_edited, false) OR coalesce(lower({S.strip('edited')}) = 'true', false)
+@query(f"""SELECT id, subreddit, body, '' AS parent_body, score, created_utc, parent_id, link_id, is_submitter, controversiality, permalink,
+  CAST(NULL AS VARCHAR) AS label, coalesce(_meta.is_edited, false) OR coalesce(lower({S.strip('edited')}) = 'true', false)
   OR coalesce(try_cast({S.strip('edited')} AS DOUBLE) <> 0, false) AS is_edited FROM raw_comment""")
 def project_features(spark, sf):
     rows = _raw(spark, sf).withColumns({"parent_body": F.lit(""), "label": F.lit(None).cast("string")})
-    keep = ["row_id", "id", "subreddit", "body", "score", "created_utc", "parent_id", "link_id", "is_submitter",
-            "controversiality", "is_edited"]
-    edited = C.is_edited(F.col("_meta.is_edited"), F.col("edited"))
-    return rows.withColumn("is_edited", edited).select(*keep)
+    return enrich.extract_features(rows).drop("author", "author_flair_text")
 
 
 @query("""SELECT row_id, replace(link_id, 't3_', '') AS bare_link,
@@ -73,9 +70,10 @@ def project_bare_ids(spark, sf):
 
 
 @query(f"""SELECT row_id, CASE WHEN coalesce(author_flair_text, '') = '' THEN 'none' ELSE {S.strip('author_flair_text')} END
-  AS author_flair_clean, coalesce(author_flair_text, '') <> '' AND {S.strip('author_flair_text')} <> 'none' AS has_author_flair,
+  AS author_flair_clean, {S.strip("coalesce(author_flair_text, '')")} <> '' AS has_author_flair,
   coalesce(is_submitter, false) AS is_submitter_bool,
-  coalesce(lower({S.strip('edited')}) = 'true', false) OR coalesce(try_cast({S.strip('edited')} AS DOUBLE) <> 0, false) AS is_edited_bool,
+  coalesce(_meta.is_edited, false) OR coalesce(lower({S.strip('edited')}) = 'true', false)
+    OR coalesce(try_cast({S.strip('edited')} AS DOUBLE) <> 0, false) AS is_edited_bool,
   coalesce(controversiality, 0) AS controversiality FROM raw_comment""")
 def project_flags(spark, sf):
     rows = enrich.enrich_context(_raw(spark, sf).withColumn("parent_body", F.lit("")))
@@ -183,7 +181,7 @@ def agg_token_costs(spark, sf):
 
 
 _SPAM = f"""spam AS (SELECT {S.removal_class()} AS category, {S.strip('body')} AS b FROM raw_comment WHERE body IS NOT NULL
-  GROUP BY 1, 2 HAVING count(*) >= 5 AND count(DISTINCT author) >= 2)"""
+  GROUP BY 1, 2 HAVING count(*) >= 5 AND count(DISTINCT coalesce(author, '')) >= 2)"""
 
 
 @query(f"""WITH {_SPAM} SELECT r.row_id FROM raw_comment r WHERE NOT EXISTS (
@@ -192,8 +190,8 @@ def dedup_remove_spam(spark, sf):
     return dedup.remove_spam(audit.classify(_raw(spark, sf)), ["category"]).select("row_id")
 
 
-@query(f"""SELECT {S.removal_class()} AS category, md5({S.strip('body')}) AS digest, count(*) AS copies, count(DISTINCT author) AS authors
-FROM raw_comment WHERE body IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5 AND count(DISTINCT author) >= 2""")
+@query(f"""SELECT {S.removal_class()} AS category, md5({S.strip('body')}) AS digest, count(*) AS copies, count(DISTINCT coalesce(author, '')) AS authors
+FROM raw_comment WHERE body IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5 AND count(DISTINCT coalesce(author, '')) >= 2""")
 def dedup_spam_bodies(spark, sf):
     rows = audit.classify(_raw(spark, sf))
     spam = dedup.spam_bodies(rows, ["category"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from threadmill.operators import enrich, history, lookups
 from threadmill.plans import sqltext as S
-from threadmill.plans.registry import query
+from threadmill.plans.registry import ORACLES, query
 from threadmill.runtime import read_table
 
 _HIST = """k AS (SELECT *, row_number() OVER (PARTITION BY author, link_id ORDER BY created_utc, row_id) AS k FROM raw_comment),
@@ -16,7 +16,7 @@ h AS (SELECT row_id, author, id, created_utc, score,
     + row_number() OVER (PARTITION BY author, created_utc ORDER BY row_id) - 1 AS vel_24h,
   coalesce(sum(coalesce(score, 1)) OVER p, 0) AS score_sum,
   coalesce(sum(CAST(k = 1 AS BIGINT)) OVER p, 0) AS unique_threads,
-  (created_utc - first_value(created_utc) OVER o) / 86400.0::DOUBLE AS days_active,
+  created_utc - first_value(created_utc) OVER o AS active,
   row_number() OVER o = 1 AS is_first,
   coalesce(max(k) OVER p, 0) AS max_in_thread
   FROM k WINDOW o AS (PARTITION BY author ORDER BY created_utc, row_id),
@@ -28,13 +28,19 @@ def _history(spark, sf):
 
 
 @query(f"""WITH {_HIST} SELECT row_id, CAST(n_prior AS BIGINT) AS n_prior, CAST(vel_24h AS BIGINT) AS vel_24h,
-  CAST(unique_threads AS BIGINT) AS unique_threads, days_active, is_first, CAST(max_in_thread AS BIGINT) AS max_in_thread,
-  coalesce(round(CAST(score_sum AS DOUBLE) / nullif(n_prior, 0), 6), 0.0) AS avg_score FROM h""")
+  CAST(unique_threads AS BIGINT) AS unique_threads, {S.half_up('active', '86400', 1)} AS days_active, is_first, CAST(max_in_thread AS BIGINT) AS max_in_thread,
+  coalesce({S.half_up('score_sum', 'nullif(n_prior, 0)', 1)}, 0.0) AS avg_score FROM h""")
 def window_author_history(spark, sf):
     return _history(spark, sf).select(
-        "row_id", "n_prior", "vel_24h", "unique_threads", "days_active", "is_first", "max_in_thread",
-        F.round("avg_score", 6).alias("avg_score"),
-    )
+        "row_id", "n_prior", "vel_24h", "unique_threads", "days_active", "is_first", "max_in_thread", "avg_score"
+    )
+
+
+query(ORACLES["window_author_history"], "window_hot_authors")(
+    lambda spark, sf: history.author_history(read_table(spark, sf, "raw_comment"), hot=40).select(
+        "row_id", "n_prior", "vel_24h", "unique_threads", "days_active", "is_first", "max_in_thread", "avg_score"
+    )
+)
 
 
 @query(f"""WITH {_HIST} SELECT row_id, CAST(n_prior AS BIGINT) AS n_prior FROM h WHERE id IN (SELECT id FROM demo_sample)""")

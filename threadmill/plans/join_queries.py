@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadmill.operators import evaluate, lookups
+from threadmill.operators import audit, dedup, evaluate, history, lookups
 from threadmill.plans import sqltext as S
+from threadmill.plans.history_queries import _HIST
 from threadmill.plans.registry import query
 from threadmill.runtime import read_table
 
@@ -64,14 +65,12 @@ def join_account_age(spark, sf):
     return got.select("row_id", "account_age_days")
 
 
-@query("""SELECT author, source, min(account_created_utc) AS account_created_utc FROM account_age a
-WHERE account_created_utc > 0 AND author IS NOT NULL AND author <> '[deleted]'
-  AND coalesce(source, '') = (SELECT coalesce(min(source) FILTER (source IS NOT NULL), '') FROM account_age b
-    WHERE b.author = a.author AND b.account_created_utc > 0 AND (b.source IS NOT NULL))
-GROUP BY author, source""")
+@query("""SELECT author, account_created_utc, source FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY
+  CASE source WHEN 'post_author_created_utc' THEN 0 WHEN 'author_created_utc' THEN 1 WHEN 'oldest_post' THEN 2 WHEN 'comment_author_created_utc' THEN 3
+    WHEN 'oldest_comment' THEN 4 ELSE 5 END, source NULLS LAST, account_created_utc) AS r
+  FROM account_age WHERE account_created_utc > 0 AND author IS NOT NULL AND author <> '[deleted]') WHERE r = 1""")
 def join_oldest_activity(spark, sf):
-    ages = read_table(spark, sf, "account_age").where("source is not null")
-    return lookups.oldest_activity(ages)
+    return lookups.oldest_activity(read_table(spark, sf, "account_age"))
 
 
 @query("""SELECT sample_id, natural_rate FROM demo_sample d LEFT JOIN community c ON lower(d.subreddit) = lower(c.subreddit)""")
@@ -81,6 +80,49 @@ def join_natural_rate(spark, sf):
     return lookups.attach_small(demo, rates, "s").select("sample_id", "natural_rate")
 
 
+_RULES = """g AS (SELECT lower(subreddit) AS s, '1. Be kind in ' || lower(subreddit) AS rules_text FROM community)"""
+
+
+def _enriched_demo(spark, sf):
+    """demo_sample with the history features of its comments, by their last delivery, and the rules of its community."""
+    rows = read_table(spark, sf, "raw_comment").where("id is not null")
+    features = dedup.latest(history.author_history(rows), ["id"], [F.desc("ingested_at"), F.desc("row_id")])
+    sub = F.lower("subreddit")
+    rules = read_table(spark, sf, "community").select(sub.alias("subreddit"), F.concat(F.lit("1. Be kind in "), sub).alias("rules_text"))
+    return lookups.attach_rules(lookups.attach_author_features(read_table(spark, sf, "demo_sample"), features), rules)
+
+
+_FOUND = f"""{_HIST.replace('FROM raw_comment)', 'FROM raw_comment WHERE id IS NOT NULL)')},
+last AS (SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY h.id ORDER BY r.ingested_at DESC, r.row_id DESC) AS rank
+  FROM h JOIN raw_comment r ON h.row_id = r.row_id) WHERE rank = 1),
+e AS (SELECT d.sample_id, d.subreddit, d.post_title, last.id IS NOT NULL AS author_features_found, CAST(coalesce(n_prior, 0) AS BIGINT) AS author_n_prior,
+  CAST(coalesce(vel_24h, 0) AS BIGINT) AS author_vel_24h, coalesce({S.half_up('score_sum', 'nullif(n_prior, 0)', 1)}, 0.0) AS author_avg_score,
+  CAST(coalesce(unique_threads, 0) AS BIGINT) AS author_unique_threads, coalesce({S.half_up('active', '86400', 1)}, 0.0) AS author_days_active,
+  coalesce(is_first, true) AS author_is_first, CAST(coalesce(max_in_thread, 0) AS BIGINT) AS author_max_in_thread
+  FROM demo_sample d LEFT JOIN last ON d.id = last.id)"""
+
+
+@query(f"""WITH {_FOUND}, {_RULES} SELECT e.* EXCLUDE (subreddit, post_title), coalesce(g.rules_text, '') AS rules_text
+FROM e LEFT JOIN g ON lower(e.subreddit) = g.s""")
+def join_author_features(spark, sf):
+    got = _enriched_demo(spark, sf)
+    return got.select("sample_id", "author_features_found", *[b for _, b, _ in lookups.AUTHOR_FEATURES], "rules_text")
+
+
+@query(f"""WITH {_FOUND} SELECT subreddit, count(*) AS total, count(*) FILTER (coalesce(post_title, '') = '') AS missing_titles,
+  count(*) FILTER (author_n_prior = 0 AND NOT author_is_first) AS missing_author FROM e GROUP BY subreddit""")
+def agg_missing_values(spark, sf):
+    return audit.missing_values(_enriched_demo(spark, sf), "subreddit")
+
+
+@query(f"""WITH {S.PRED} SELECT count(*) FILTER (prediction <> 'unparseable') AS n_kept, count(*) FILTER (prediction = 'unparseable') AS n_failed FROM pred""")
+def filter_parsed_predictions(spark, sf):
+    from threadmill.plans.metric_queries import predictions
+
+    kept, counts = audit.parsed_predictions(predictions(spark, sf))
+    return counts.join(kept.agg(F.count("*").alias("n_kept")), "n_kept")
+
+
 @query("""WITH r AS (SELECT id, max(controversiality) AS controversiality, max(permalink) AS permalink FROM raw_comment GROUP BY id)
 SELECT d.sample_id, r.controversiality, r.permalink FROM demo_sample d LEFT JOIN r ON d.id = r.id""")
 def join_extra_fields(spark, sf):

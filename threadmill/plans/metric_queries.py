@@ -16,7 +16,7 @@ def predictions(spark, sf):
     demo = read_table(spark, sf, "demo_sample")
     body, words = F.col("body"), word_count(F.col("body"))
     return demo.select(
-        F.col("sample_id").alias("id"), F.lower("subreddit").alias("subreddit"), "label", "body", "post_title",
+        F.col("sample_id").alias("id"), F.col("id").alias("comment"), F.lower("subreddit").alias("subreddit"), "label", "body", "post_title",
         "is_top_level", "parent_body", "account_age_days",
         F.when(body.isNull(), "unparseable").when(words <= 45, "True").otherwise("False").alias("prediction"),
         F.when(body.isNull(), "unparseable").when(body.contains("!"), "True").otherwise("False").alias("pred_b"),
@@ -67,6 +67,10 @@ def threshold_length_baseline(spark, sf):
     return flagship(spark, sf)
 
 
+_AUC_CELLS = """k AS (SELECT subreddit, confidence AS c, count(*) FILTER (coalesce(label = 'removed', false)) AS p,
+  count(*) FILTER (NOT coalesce(label = 'removed', false)) AS n FROM pred WHERE confidence IS NOT NULL GROUP BY 1, 2)"""
+
+
 @query(f"WITH {S.PRED} {S.cells()}")
 def metric_confusion(spark, sf):
     return evaluate.confusion(predictions(spark, sf), ["subreddit"])
@@ -88,6 +92,27 @@ def metric_scores(spark, sf):
     return evaluate.scores(predictions(spark, sf), ["subreddit"])
 
 
+@query(f"""WITH {S.PRED}, c AS ({S.cells()}), {_AUC_CELLS}, r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY subreddit ORDER BY c
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM k),
+a AS (SELECT subreddit, round(CAST(sum(p * (u * 2 + n)) AS DOUBLE) / nullif(CAST(sum(p) * sum(n) * 2 AS DOUBLE), 0), 4) AS auroc FROM r GROUP BY 1),
+s AS (SELECT *, tp + fp + tn + fn AS total_evaluated, {S.stats(['f1', 'precision', 'recall', 'accuracy', 'kappa'])} FROM c)
+SELECT s.subreddit, tp, fp, tn, fn, unparseable, total_evaluated, total_evaluated + unparseable AS total_attempted, round(f1, 4) AS f1,
+  round("precision", 4) AS "precision", round(recall, 4) AS recall, round(accuracy, 4) AS accuracy, round(kappa, 4) AS kappa, auroc,
+  true AS f1_inside, true AS precision_inside, true AS recall_inside, true AS accuracy_inside
+FROM s JOIN a ON s.subreddit IS NOT DISTINCT FROM a.subreddit""")
+def metric_bundle(spark, sf):
+    """The whole bundle; of its drawn intervals, whether they hold the value itself and are no wider than six deviations."""
+    got = evaluate.metric_bundle(predictions(spark, sf), ["subreddit"])
+    n = F.greatest(F.col("total_evaluated"), F.lit(1))
+    of = {"f1": F.greatest(F.least(F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")), F.lit(1)), "accuracy": n,
+          "precision": F.greatest(F.col("tp") + F.col("fp"), F.lit(1)), "recall": F.greatest(F.col("tp") + F.col("fn"), F.lit(1))}
+    for m, size in of.items():
+        low, high = F.col(f"{m}_low"), F.col(f"{m}_high")
+        inside = (low <= F.col(m)) & (F.col(m) <= high) & (high - low <= F.least(F.lit(1.0), 4 / F.sqrt(size)))
+        got = got.withColumn(f"{m}_inside", inside).drop(f"{m}_low", f"{m}_high")
+    return got
+
+
 @query(f"""WITH {S.PRED}, c AS ({S.cells()}), m AS (SELECT {S.stats(['accuracy', 'f1', 'kappa'])} FROM c)
 SELECT round(avg(accuracy), 9) AS accuracy, round(avg(f1), 9) AS f1, round(avg(kappa), 9) AS kappa FROM m""")
 def metric_macro_means(spark, sf):
@@ -96,10 +121,6 @@ def metric_macro_means(spark, sf):
     return got.select(*[F.round(n, 9).alias(n) for n in names])
 
 
-_AUC_CELLS = """k AS (SELECT subreddit, confidence AS c, count(*) FILTER (coalesce(label = 'removed', false)) AS p,
-  count(*) FILTER (NOT coalesce(label = 'removed', false)) AS n FROM pred WHERE confidence IS NOT NULL GROUP BY 1, 2)"""
-
-
 @query(f"""WITH {S.PRED}, {_AUC_CELLS}, r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY subreddit ORDER BY c
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM k)
 SELECT subreddit, CAST(sum(p * (u * 2 + n)) AS DOUBLE) / nullif(CAST(sum(p) * sum(n) * 2 AS DOUBLE), 0) AS auroc FROM r GROUP BY subreddit""")
@@ -128,17 +149,18 @@ def metric_confidence_stats(spark, sf):
     return got.withColumn("mean", F.round("mean", 9))
 
 
-_MCN = f"""WITH {S.PRED}, w AS (SELECT subreddit, prediction = CASE WHEN label = 'removed' THEN 'True' ELSE 'False' END AS a,
-  pred_b = CASE WHEN label = 'removed' THEN 'True' ELSE 'False' END AS b FROM pred),
+_MCN = f"""WITH {S.PRED}, l AS (SELECT p.* FROM pred p JOIN (SELECT id AS comment, max(sample_id) AS id FROM demo_sample WHERE id IS NOT NULL
+  GROUP BY 1) d ON p.id = d.id), w AS (SELECT subreddit, prediction = CASE WHEN label = 'removed' THEN 'True' ELSE 'False' END AS a,
+  pred_b = CASE WHEN label = 'removed' THEN 'True' ELSE 'False' END AS b FROM l),
 m AS (SELECT subreddit, count(*) AS n, count(*) FILTER (a AND NOT b) AS b, count(*) FILTER (b AND NOT a) AS c FROM w GROUP BY subreddit),
 x AS (SELECT *, coalesce(pow(abs(b - c) - 1.0::DOUBLE, 2) / nullif(CAST(b + c AS DOUBLE), 0), 0.0) AS chi2 FROM m)"""
 
 
 def _mcnemar(spark, sf):
+    """Redelivered comments come twice; the last row of a comment counts."""
     pred = predictions(spark, sf)
-    b = pred.select("id", F.col("pred_b").alias("prediction"))
-    pairs = evaluate.paired(pred, b).join(pred.select("id", "subreddit"), "id")
-    return evaluate.mcnemar(pairs, ["subreddit"])
+    b = pred.select("comment", "id", F.col("pred_b").alias("prediction"))
+    return evaluate.mcnemar(evaluate.paired(pred, b, "id", "comment", ("subreddit",)), ["subreddit"])
 
 
 @query(f"{_MCN} SELECT *, chi2 > 3.841458820694124 AS significant_05, chi2 > 6.634896601021213 AS significant_01 FROM x")
@@ -146,9 +168,14 @@ def metric_mcnemar(spark, sf):
     return _mcnemar(spark, sf)
 
 
-@query()
+@query(f"""{_MCN} SELECT x.*, chi2 > 3.841458820694124 AS significant_05, chi2 > 6.634896601021213 AS significant_01,
+  round(CASE WHEN chi2 > 0 THEN tail ELSE 1.0 END, 6) AS p_value FROM x,
+  -- erf(z) for z = sqrt(chi2 / 2): 2 / sqrt(pi) * exp(-z^2) * sum of 2^k z^(2k+1) / (2k+1)!!, all terms positive
+  LATERAL (SELECT 1 - 2 / sqrt(pi()) * sum(exp((2 * k + 1) * ln(greatest(sqrt(chi2 / 2), 1e-300)) + 2 * k * ln(2) + lgamma(k + 1)
+    - lgamma(2 * k + 2) - chi2 / 2)) AS tail
+    FROM range(0, 3000) r(k))""")
 def metric_chi_square_tail(spark, sf):
-    return evaluate.chi_square_tail(_mcnemar(spark, sf))
+    return evaluate.chi_square_tail(_mcnemar(spark, sf)).withColumn("p_value", F.round("p_value", 6))
 
 
 @query(f"""WITH {S.PRED} SELECT subreddit, CAST(count(*) FILTER (prediction = 'True') AS DOUBLE) / count(*) AS share_true, count(*) AS n

@@ -94,7 +94,7 @@ _RATED = """d AS (SELECT p.*, c.natural_rate FROM pred p JOIN community c ON p.s
 
 def _rated(spark, sf):
     rates = read_table(spark, sf, "community").select(F.lower("subreddit").alias("subreddit"), "natural_rate")
-    return predictions(spark, sf).join(F.broadcast(rates), "subreddit")  # one row a community, 15 in all
+    return predictions(spark, sf).join(rates, "subreddit")
 
 
 @query(f"""WITH {S.PRED}, {_RATED}, s AS (SELECT subreddit, count(*) FILTER (coalesce(label = 'removed', false)) AS r,

@@ -1,5 +1,6 @@
 """Schemas of the raw inputs; what is not named stays in a VARIANT column."""
 
+# Names of the fields in the inputs.
 RAW_COMMENT = (
     "id string, subreddit string, author string, body string, score bigint, created_utc bigint, "
     "parent_id string, link_id string, distinguished string, edited string, is_submitter boolean, "
