@@ -50,7 +50,7 @@ def test_small_files(spark, tmp_path):
     ids = readers.read_ids(spark, str(tmp_path / "*_test_ids.txt"), comments=True).collect()
     assert {tuple(r) for r in ids} == {("a", "x1"), ("a", "x2")}
     (tmp_path / "c.json").write_text('{"subreddits": [], "seen": ["a"], "unseen": ["b"]}')
-    assert readers.read_config(str(tmp_path / "c.json")) == ["a", "b"]
+    assert readers.read_config(spark, str(tmp_path / "c.json")) == ["a", "b"]
     assert readers.order_list(["a", "b", "c"], ["c", "z"], ["b"]) == ["c", "a"]
 
 

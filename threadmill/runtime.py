@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,9 +39,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests, a folder of this machine is made and set as the checkpoint
-    directory of the context.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    session within one process, as in tests, makes a folder of this machine and
+    sets it as the context's checkpoint directory; on a cluster it is an error.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
@@ -48,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="threadmill-")
     spark.sparkContext.setCheckpointDir(made)
     return shared_dir(spark)

@@ -156,10 +156,11 @@ def read_predictions(spark: SparkSession, folder: str, pattern: str = "*.jsonl")
 
 
 def read_metrics(spark: SparkSession, path: str, schema: str, suffix: str = "_metrics.json") -> DataFrame:
-    """One JSON object a file, with the community from the file name; unreadable files give no row."""
+    """One JSON object a file, with the community from the file name, what follows its first
+    underscore; unreadable files give no row."""
     raw = spark.read.text(path, wholetext=True)
     return raw.select(
-        F.regexp_extract(F.replace(F.col("_metadata.file_name"), F.lit(suffix), F.lit("")), r"([^_]+)$", 1).alias("community"),
+        F.regexp_extract(F.replace(F.col("_metadata.file_name"), F.lit(suffix), F.lit("")), r"^(?:[^_]*_)?(.+)$", 1).alias("community"),
         F.from_json("value", schema).alias("m"),
     ).where(F.coalesce(*[F.col(f"m.{f.split()[0]}").cast("string") for f in schema.split(", ")]).isNotNull()).select("community", "m.*")
 
@@ -186,10 +187,9 @@ def read_train_meta(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_name").alias("run"), F.inline(entries.getField("log_history")))
 
 
-def read_config(path: str) -> list[str]:
-    """Communities of a configuration file: ``subreddits``, else ``seen`` and ``unseen``."""
-    with open(path, encoding="utf-8") as f:
-        config = json.load(f)
+def read_config(spark: SparkSession, path: str) -> list[str]:
+    """Communities of a configuration file, in any storage: ``subreddits``, else ``seen`` and ``unseen``."""
+    config = json.loads(spark.read.text(path, wholetext=True).first().value)
     return config.get("subreddits") or [*config.get("seen", []), *config.get("unseen", [])]
 
 

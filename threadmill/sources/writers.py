@@ -16,6 +16,26 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_files(df: DataFrame, path: str, name: str = "name", text: str = "text", compression: str | None = None) -> DataFrame:
+    """One file below ``path`` for each row, named by it, optionally compressed; gives the files' names.
+
+    It is written when the result is read. A repeated task writes its files anew.
+    """
+    from threadmill.sources.zstd_dump import filesystem
+
+    def run(batches):
+        store, folder = filesystem(path)
+        for pdf in batches:
+            for file, body in pdf.itertuples(index=False):
+                target = f"{folder}/{file}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(target, compression=compression) as out:
+                    out.write(body.encode())
+            yield pdf[["name"]]
+
+    return df.select(F.col(name).alias("name"), F.col(text).alias("text")).mapInPandas(run, "name string")
+
+
 def append_comments(df: DataFrame, path: str) -> None:
     """Append by community and month; later readers take the newest delivery of an id."""
     month = F.date_format(F.timestamp_seconds("created_utc"), "yyyy-MM")

@@ -51,8 +51,16 @@ def live_first_delivery(df: DataFrame, late: str = "30 days") -> DataFrame:
     return df.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
 
 
-def run_to_end(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over what there is into a memory table, for tests and small reports."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def run_to_end(df: DataFrame, path: str, mode: str) -> DataFrame:
+    """Run a stream over what there is into Parquet files below ``path`` and read them back.
+
+    Each batch has a folder of its own, which a repeated batch writes anew; in
+    complete mode the last batch is the result.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{'all' if mode == 'complete' else f'b{number}'}")
+
+    sink = df.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/_state")
+    sink.outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
