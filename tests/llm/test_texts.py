@@ -2,11 +2,12 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from threadmill.llm.chunking import boundary_arrays, cut, split_texts
-from threadmill.llm.mixing import mix_sources, rake
+from threadmill.llm.mixing import _raked, mix_sources, rake, rake_table
 from threadmill.llm.packing import LevelPacker, pack_documents
 from threadmill.llm.tokens import size_column, span_reader
 
@@ -99,6 +100,18 @@ def test_packing_edges(spark):
     assert pack_documents(spark.createDataFrame([], DOC), 3).collect() == []
 
 
+def test_table_and_memory_rake_alike(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"s{i % 7}", f"l{i % 5}", f"t{i % 11}", float(rng.integers(1, 900))) for i in range(180)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double").groupBy("source", "lang", "topic").sum("tokens")
+    want, cap = F.length("source") * 1000 + F.ascii(F.substring("source", 2, 1)) * 100.0, F.when(F.col("source") == "s3", 4.0).otherwise(1.0)
+    cells = cells.withColumnRenamed("sum(tokens)", "tokens").withColumns({"want": want.cast("double"), "cap": cap})
+    total = 60_000.0
+    one = {tuple(r)[:3]: r.fitted for r in rake_table(cells, total).collect()}
+    two = {tuple(r)[:3]: r[4] for r in _raked(cells.toPandas(), total).itertuples(index=False)}
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-3 for k in one)
+
+
 def test_rake_meets_targets_under_caps():
     rng = np.random.default_rng(0)
     source, lang, topic = (np.repeat(np.arange(4), 6), np.tile([0, 0, 0, 1, 1, 1], 4), np.tile([0, 1, 2], 8))
@@ -112,13 +125,14 @@ def test_rake_meets_targets_under_caps():
     assert np.allclose(np.bincount(source, got), reach, rtol=1e-6)
 
 
-def test_mix(spark):
+@pytest.mark.parametrize("driver_cells", [1000, 0])
+def test_mix(spark, driver_cells):
     rows = [(i, "w " * (5 + i % 40), f"s{i % 3}", "en" if i % 5 else None, "thread") for i in range(900)]
     rows += [(9001, None, "s0", "en", "x"), (9002, "lost", None, "en", "x"), (9003, "lost too", "other", "en", "x")]
     df = spark.createDataFrame([(*r, 1) for r in rows], MIX + ", copies int")
     goal = [("s0", 0.5, 3), ("s1", 0.2, 1), ("s2", 0.25, 1), ("none", 0.05, 2)]
     targets = spark.createDataFrame(goal, "source string, target_weight double, max_repeat long")
-    picked, report = mix_sources(df, targets)
+    picked, report = mix_sources(df, targets, driver_cells=driver_cells)
     by = {r.source: r for r in report.collect()}
     assert [s for s, r in by.items() if r.short] == ["none"]
     assert all(r.copies <= {"s0": 3, "s1": 1, "s2": 1}[r.source] for r in picked.collect())
@@ -126,5 +140,6 @@ def test_mix(spark):
     for s in ("s0", "s1", "s2"):
         assert abs(by[s].tokens_reached / total - by[s].target_weight) < 0.01
     assert {r.id for r in picked.collect()}.isdisjoint({9001, 9002, 9003})
+    assert all(r.tokens_raked <= r.tokens * r.max_repeat + 1e-6 for r in by.values())
     empty = mix_sources(spark.createDataFrame([], MIX), targets)
     assert empty[0].collect() == [] and all(r.tokens_reached == 0 for r in empty[1].collect())
