@@ -26,7 +26,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collapsed_records(read_table(spark, sf_dir, "demo_sample"))
+    return collapsed_records(read_table(spark, sf_dir, "demo_sample")).withColumnRenamed("text", "body")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _split_targets(spark: SparkSession, sf_dir: str) -> list[tuple[str, float]]:
     """The rows of split_target, a table of one row for each split."""
     rows = read_table(spark, sf_dir, "split_target").orderBy(F.desc("target_share"), "split")
-    return [(r.split, r.target_share) for r in rows.take(1000)]
+    return [(r.split, r.target_share) for r in rows.collect()]
 
 
 def _p3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,17 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, groups, groups in two splits, and whether each split is within 0.1 % of its rows of the target, or one row."""
+    placed = write_shared(_p3(spark, sf_dir), "splits")
+    per_group = placed.groupBy("first_id").agg(F.count_distinct("split").alias("splits"), F.count("*").alias("n"))
+    groups = per_group.agg(F.count("*").alias("n_groups"), F.count_if(F.col("splits") != 1).alias("n_torn"), F.sum("n").alias("n_rows"))
+    shares = placed.groupBy("split").agg(F.count("*").alias("n"))
+    off = read_table(spark, sf_dir, "split_target").join(shares, "split", "left").join(groups.select("n_rows"))
+    off = off.select(F.abs(F.coalesce("n", F.lit(0)) - F.col("target_share") * F.col("n_rows")) - F.greatest(F.lit(1.0), F.col("n_rows") / 1000))
+    return groups.join(off.toDF("x").agg((F.max("x") <= 0).alias("on_target")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = overlap_pairs(*cross_split_overlaps(read_table(spark, sf_dir, "demo_sample")))
     return pairs.select(
@@ -208,6 +219,7 @@ QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_splits": p3_splits,
     "p3_shares": p3_shares,
+    "p3_totals": p3_totals,
     "p4_found": p4_found,
     "p4_links": p4_links,
     "p4_report": p4_report,
@@ -249,11 +261,8 @@ _SIZE = (
     r"coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{1c}-\x{1f}\x{85}]+')), 0)"
 )
 
-ORACLES: dict[str, str] = {
-    "p1_found": f"WITH {_SAME} SELECT DISTINCT first_id, sample_id AS copy_id FROM same "
-    "WHERE first_id <> sample_id",
-    "p1_copies": f"WITH {_SAME} SELECT first_id, count(*) AS copies FROM same GROUP BY first_id",
-    "p3_found": f"""WITH RECURSIVE {_SAME},
+#: Components of tied rows: ``node, first_id`` for those with a tie.
+_GROUPS = f"""WITH RECURSIVE {_SAME},
 ties AS (
   SELECT sample_id, 'a' || lower(trim(subreddit)) || ' ' || lower(trim(author)) AS tie
   FROM demo_sample WHERE subreddit IS NOT NULL AND lower(trim(author)) NOT IN ('', '[deleted]')
@@ -270,8 +279,16 @@ edges AS (
 reach AS (
   SELECT u AS node, u AS seen FROM edges
   UNION SELECT r.node, e.v FROM reach r JOIN edges e ON r.seen = e.u),
-roots AS (SELECT node, min(seen) AS first_id FROM reach GROUP BY node)
-SELECT first_id, node AS member_id FROM roots WHERE first_id <> node""",
+roots AS (SELECT node, min(seen) AS first_id FROM reach GROUP BY node)"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"WITH {_SAME} SELECT DISTINCT first_id, sample_id AS copy_id FROM same "
+    "WHERE first_id <> sample_id",
+    "p1_copies": f"""WITH {_SAME} SELECT g.first_id, copies, body FROM (SELECT first_id, count(*) AS copies FROM same GROUP BY first_id) g
+JOIN demo_sample d ON d.sample_id = g.first_id""",
+    "p3_found": f"{_GROUPS} SELECT first_id, node AS member_id FROM roots WHERE first_id <> node",
+    "p3_totals": f"""{_GROUPS} SELECT count(DISTINCT coalesce(r.first_id, d.sample_id)) AS n_groups, 0 AS n_torn, count(*) AS n_rows,
+  true AS on_target FROM demo_sample d LEFT JOIN roots r ON r.node = d.sample_id""",
     "p6_found": f"""SELECT DISTINCT doc_id FROM documents
 WHERE {_SIZE} > (SELECT max_tokens FROM size_limit WHERE purpose = 'container')""",
     "p7_found": f"""WITH sized AS (

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from threadmill.llm.canonical import MIN_LETTERS, field_key, letters
 from threadmill.llm.components import connected_components
-from threadmill.runtime import write_shared
+from threadmill.runtime import drop_shared, write_shared
 
 _RUN_SCHEMA = "key_kind int, id long, head long, part int, run int, border_key string"
 
@@ -79,11 +79,17 @@ def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sorted_runs(keyed: DataFrame) -> DataFrame:
-    """``(key, key_kind, id)`` to ``(key_kind, id, first_id)``, the smallest id of each key."""
-    ranged = keyed.select("key", "key_kind", "id").repartitionByRange("key", "id")
+    """``(key, key_kind, id)`` to ``(key_kind, id, first_id)``, the smallest id of each key.
+
+    The keys are written once, since the exchange reads them twice: for a
+    sample that sets the ranges, and to move them.
+    """
+    keyed = write_shared(keyed.select("key", "key_kind", "id"), "keys")
+    ranged = keyed.repartitionByRange("key", "id")
     scanned = write_shared(
         ranged.sortWithinPartitions("key", "id").mapInArrow(_scan_runs, _RUN_SCHEMA), "runs"
     )
+    drop_shared(keyed)
     # One row for each partition: its first key, last key and the id that opens
     # its last run. A chain of partitions that lie within one run takes the
     # opening id of the partition where the run began.
@@ -160,9 +166,17 @@ def same_records(
 def collapsed_records(
     df: DataFrame, id_col: str = "sample_id", text_col: str = "body", min_letters: int = MIN_LETTERS
 ) -> DataFrame:
-    """One row for each group of same records: ``(first_id, copies)``."""
-    return (
-        same_records(df, id_col, text_col, min_letters)
+    """The representative of each group of same records: ``(first_id, copies, text)``.
+
+    ``text`` is that of the record with the smallest id; where rows repeat that
+    id with several texts, the smallest of those that count.
+    """
+    groups = same_records(df, id_col, text_col, min_letters).groupBy("first_id").agg(F.count("*").alias("copies"))
+    texts = (
+        df.select(F.col(id_col).cast("long").alias("first_id"), F.col(text_col).alias("text"))
+        .where(F.length(letters(F.col("text"))) >= min_letters)
+        .join(groups, "first_id", "left_semi")
         .groupBy("first_id")
-        .agg(F.count("*").alias("copies"))
+        .agg(F.min("text").alias("text"))
     )
+    return groups.join(texts, "first_id")

@@ -2,16 +2,14 @@
 
 Rows are tied by author within a community, by post within a community, and by
 being the same record. Components of tied rows are bundled by identical size
-and label profile; for each size, from the largest, a min-cost flow sends the
-components of the bundles to the splits' quotas, charging deviations; members
-of a bundle are then picked by hash.
+and label profile. One min-cost flow sends all bundles to the splits, whose
+quotas are rows: a bundle's proportional share is free, what lies beyond it
+costs its deviation. The flow is found by its prices, one for each split, and
+rounded to whole components; members of a bundle are then picked by hash.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +18,9 @@ from threadmill.llm.components import connected_components
 from threadmill.llm.records import same_records
 from threadmill.runtime import write_shared
 
+#: Bundles that are solved on the driver at most. With more, label profiles are
+#: told apart in coarser steps until they fit; sizes are never merged.
+MAX_BUNDLES = 500_000
 #: Hash buckets of a bundle. Ranks are exact within a bucket and buckets are
 #: offset by their counts, so a bundle that holds most components is ranked by
 #: many tasks.
@@ -87,96 +88,111 @@ def tied_groups(
     )
 
 
-def flow_split(
-    supplies: list[int], quotas: list[int], prefer: list[list[float]]
-) -> list[list[int]]:
-    """Integral min-cost flow of bundles to splits.
+def _spread(*parts: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) that look random and depend on the parts only."""
+    x = np.zeros(np.broadcast_shapes(*[p.shape for p in parts]), np.uint64)
+    with np.errstate(over="ignore"):
+        for p in parts:
+            x = (x ^ p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(29)
+        x = x * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(11)) / float(1 << 53)
+
+
+def flow_prices(cost: np.ndarray, size: np.ndarray, demand: np.ndarray) -> np.ndarray:
+    """Prices of the splits at which each unit's cheapest split gives the rows asked for.
+
+    ``cost[u, k]`` is what a row of unit ``u`` costs in split ``k``. These are
+    the dual prices of the min-cost flow: with them a unit goes where cost and
+    price are lowest. The smoothed dual, in which a unit is shared out by how
+    little a split costs it, is solved for ever less smoothing; its steps
+    raise the price of a split that gets too much.
+    """
+    price = np.where(demand > 0, 0.0, 1e6)
+    goal = np.maximum(demand, 1e-9) / np.maximum(demand, 1e-9).sum() * size.sum()
+    for level in range(13):
+        heat = 0.5**level
+        for _ in range(40):
+            z = -(cost + price) / heat
+            part = np.exp(z - z.max(axis=1, keepdims=True))
+            part /= part.sum(axis=1, keepdims=True)
+            load = size @ part
+            price = price + heat * np.log(np.maximum(load, 1e-12) / goal)
+            if np.abs(load - goal).max() <= 1e-6 * goal.sum():
+                break
+    return price
+
+
+def allocate(bundles: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Bundles ``(size, removed, approved, count)`` to the components of each that every split gets.
 
-    ``supplies[b]`` components go to splits with ``quotas`` (same sum).
-    ``prefer[b][k]`` is the proportional flow of a bundle: flow up to its floor
-    is free, the unit above it costs the distance to the next integer, and each
-    further unit costs one more, so the total cost is the deviation of label
-    profiles between splits. Successive shortest paths; whole arcs are pushed
-    at once.
+    A bundle's whole proportional share is free, so it goes first. The few
+    components left of each bundle, fewer than there are splits, are units of
+    the flow: a row of one costs the part of a component by which its split
+    exceeds the proportional share, and a little that depends on the bundle and
+    the split only, so that equal costs are spread. At the flow's prices each
+    unit takes its cheapest split; :func:`even_out` rounds.
     """
-    nb, nk = len(supplies), len(quotas)
-    flow = np.zeros((nb, nk), np.int64)
-    left, room = np.array(supplies, np.int64), np.array(quotas, np.int64)
-    want = np.array(prefer, float).reshape(nb, nk)
-    # Free flow first: no cheaper solution uses less of the zero-cost arcs of a
-    # bundle than its floor while the quota has room.
-    for b in range(nb):
-        for k in range(nk):
-            x = max(0, min(int(want[b, k] + 1e-9), int(left[b]), int(room[k])))
-            flow[b, k] = x
-            left[b] -= x
-            room[k] -= x
-    for b in np.nonzero(left)[0].tolist():
-        for _ in range(int(left[b])):
-            # Cheapest path from b to a split with room; a path may pass
-            # through full splits by taking a unit back from another bundle.
-            up = np.maximum(0.0, flow - want + 1.0)
-            back = np.where(flow > 0, -np.maximum(0.0, flow - want), np.inf)
-            best, via = up[b].copy(), [None] * nk
-            move = {
-                (k, j): (int(o := np.argmin(back[:, k] + up[:, j])), float(back[o, k] + up[o, j]))
-                for k in range(nk) for j in range(nk) if j != k
-            }
-            for _ in range(nk):
-                for (k, j), (o, cost) in move.items():
-                    if best[k] + cost < best[j] - 1e-12:
-                        best[j], via[j] = best[k] + cost, (o, k)
-            end = min((k for k in range(nk) if room[k]), key=lambda k: best[k])
-            k, seen = end, set()
-            while via[k] is not None and k not in seen:
-                seen.add(k)
-                o, before = via[k]
-                flow[o, k] += 1
-                flow[o, before] -= 1
-                k = before
-            flow[b, k] += 1
-            room[end] -= 1
-    return flow.tolist()
-
-
-def _whole(parts: list[float], total: int) -> list[int]:
-    """Largest-remainder rounding of non-negative parts to a sum of ``total``."""
-    parts = [max(0.0, p) for p in parts]
-    scale = total / sum(parts) if sum(parts) > 0 else 0.0
-    parts = [p * scale for p in parts]
-    out = [int(p) for p in parts]
-    spare = heapq.nlargest(total - sum(out), range(len(parts)), key=lambda i: parts[i] - out[i])
-    for i in spare:
-        out[i] += 1
-    if sum(out) < total:
-        out[0] += total - sum(out)
-    return out
-
-
-def allocate(
-    bundles: list[tuple[int, int, int, int]], shares: list[float]
-) -> dict[tuple[int, int, int], list[int]]:
-    """Bundles ``(size, removed, approved, count)`` to counts for each split.
-
-    Sizes are taken from the largest; what a size leaves over or short is
-    carried to the next, so single rows correct the rounding of large groups.
+    size, count = bundles[:, 0].astype(np.int64), bundles[:, 3].astype(np.int64)
+    kinds, quota = len(shares), shares * float((size * count).sum())
+    want = count[:, None] * shares
+    if not len(bundles):
+        return np.zeros((0, kinds), np.int64)
+    flow = np.floor(want + 1e-9).astype(np.int64)
+    rest = want - flow
+    left = count - flow.sum(axis=1)
+    unit = np.repeat(np.arange(len(size)), left)
+    if not len(unit):
+        return even_out(flow, size, quota, want)
+    turn = np.arange(len(unit)) - np.repeat(np.cumsum(left) - left, left)
+    rows = size[unit].astype(float)
+    noise = _spread(*[bundles[unit, j][:, None] for j in range(3)], turn[:, None], np.arange(kinds)[None, :])
+    cost = 1 - rest[unit] + noise
+    demand = quota - (flow * size[:, None]).sum(axis=0)
+    price = flow_prices(cost, rows, np.maximum(demand, 0.0))
+    to = (cost + price).argmin(axis=1)
+    np.add.at(flow, (unit, to), 1)
+    return even_out(flow, size, quota, want)
+
+
+def even_out(flow: np.ndarray, size: np.ndarray, quota: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Whole components moved between splits until no single move brings the rows nearer to the quotas.
+
+    What a split has too much, as when one component is larger than the rest
+    allows for, is first taken from all bundles in proportion, then one
+    component at a time, where it helps most and deviates least.
     """
-    by_size: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-    for b in bundles:
-        by_size[b[0]].append(b)
-    carry = [0.0] * len(shares)
-    out: dict[tuple[int, int, int], list[int]] = {}
-    for size in sorted(by_size, reverse=True):
-        group = sorted(by_size[size])
-        count = sum(b[3] for b in group)
-        want = [carry[k] + shares[k] * count * size for k in range(len(shares))]
-        quotas = _whole([w / size for w in want], count)
-        prefer = [[b[3] * q / count for q in quotas] for b in group]
-        flow = flow_split([b[3] for b in group], quotas, prefer)
-        for b, f in zip(group, flow, strict=True):
-            out[b[:3]] = f
-        carry = [want[k] - quotas[k] * size for k in range(len(shares))]
-    return out
+    flow, kinds = flow.copy(), len(quota)
+    for _ in range(2 * kinds):
+        over = size @ flow - quota
+        k, j = int(over.argmax()), int(over.argmin())
+        rows = min(over[k], -over[j])
+        held = np.where(size <= rows, flow[:, k], 0)
+        if not held.any():
+            break
+        moved = np.floor(held * min(1.0, rows / (held @ size))).astype(np.int64)
+        flow[:, k] -= moved
+        flow[:, j] += moved
+    over = size @ flow - quota
+    for _ in range(64 * kinds):
+        gain = np.full((kinds, kinds, len(size)), np.inf)
+        for k in range(kinds):
+            for j in range(kinds):
+                if j != k:
+                    change = np.abs(over[k] - size) + np.abs(over[j] + size) - abs(over[k]) - abs(over[j])
+                    gain[k, j] = np.where(flow[:, k] > 0, change, np.inf)
+        best = gain.min()
+        if best > -1e-9:
+            break
+        k, j, u = np.nonzero(gain <= best + 1e-9)
+        deviation = (want[u, k] - flow[u, k]) + (flow[u, j] - want[u, j])
+        at = int(deviation.argmin())
+        k, j, u = k[at], j[at], u[at]
+        flow[u, k] -= 1
+        flow[u, j] += 1
+        over[k] -= size[u]
+        over[j] += size[u]
+    return flow
 
 
 def assign_splits(
@@ -185,6 +201,7 @@ def assign_splits(
     label_col: str = "label",
     id_col: str = "sample_id",
     seed: int = 42,
+    max_bundles: int = MAX_BUNDLES,
     **cols: str,
 ) -> DataFrame:
     """``(id, first_id, split)``: every row with its component and split.
@@ -193,9 +210,9 @@ def assign_splits(
     their shares, scaled to a sum of one; null or negative shares are an error.
     Labels other than ``removed`` and ``approved``, and nulls, count as a third
     kind. The bundle table that is solved on the driver has one row for each
-    distinct (size, label profile); with N rows in all there are at most
-    about N**(2/3) of them, whatever the rows hold. An empty table gives an
-    empty result.
+    distinct (size, label profile), about N**(2/3) of N rows at most; if that
+    is more than ``max_bundles``, label profiles are bundled in coarser steps.
+    An empty table gives an empty result.
     """
     if not targets or any(s is None or s < 0 for _, s in targets) or sum(s for _, s in targets) <= 0:
         raise ValueError("targets need non-negative shares with a positive sum")
@@ -219,15 +236,22 @@ def assign_splits(
     bucket = F.pmod(F.xxhash64("first_id", F.lit(seed)), F.lit(RANK_BUCKETS)).cast("int")
     profile = ["size", "removed", "approved"]
     comps = write_shared(comps.withColumn("bucket", bucket), "bundles")
-    counts = comps.groupBy(*profile).agg(F.count("*").alias("count")).collect()
-    plan = allocate([tuple(r) for r in counts], shares)
-    spark = df.sparkSession
-    bounds = [
-        (*key, *[sum(flow[: k + 1]) for k in range(len(names))]) for key, flow in plan.items()
-    ]
+    spark, step = df.sparkSession, 1
+    while True:
+        told = lambda c: F.floor(F.col(c) / step) * step
+        comps = comps.withColumns({c: told(c) for c in ("removed", "approved")})
+        counts = comps.groupBy(*profile).agg(F.count("*").alias("count"))
+        bundles = counts.limit(max_bundles + 1).toPandas()
+        if len(bundles) <= max_bundles:
+            break
+        step *= 4
+        if step > 1 << 62:
+            raise ValueError(f"more than {max_bundles} distinct sizes of components")
+    bundles = bundles.sort_values(profile)
+    upto = allocate(bundles.to_numpy(np.int64), np.array(shares)).cumsum(axis=1)
     bound_cols = [f"upto{k}" for k in range(len(names))]
     schema = ", ".join(f"{c} long" for c in profile + bound_cols)
-    limits = spark.createDataFrame(bounds, schema)
+    limits = spark.createDataFrame(np.hstack([bundles[profile].to_numpy(np.int64), upto]).tolist(), schema)
     held = comps.groupBy(*profile, "bucket").agg(F.count("*").alias("held"))
     before = F.sum("held").over(
         Window.partitionBy(*profile).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
