@@ -125,3 +125,20 @@ def test_short_and_unlisted_names(text, mention):
 @pytest.mark.parametrize("text", ["Anna Is late", "the shop on Mary Lane today", "anna li", "how long did thomas long for it", "Kind regards, the whole team"])
 def test_no_short_names(text):
     assert Finder()(text) == []
+
+
+def test_names_and_numbers_that_are_in_no_list():
+    """Given names outside the list beside a cue, chains of names, numbers of any prefix and digits."""
+    find = Finder()
+    got = lambda text: [(text[a:b], k) for a, b, k in find(text)]
+    assert got("Please contact Kevin Brown or Lisa Miller tomorrow.") == [("Kevin Brown", "name"), ("Lisa Miller", "name")]
+    assert got("Brian Cooper wrote it") == [("Brian Cooper", "name")]
+    assert got("I met Wei Zhang, Priya Sharma and Mohammed Khan there") == [
+        ("Wei Zhang", "name"), ("Priya Sharma", "name"), ("Mohammed Khan", "name")
+    ]
+    assert got("his landlord Steven Wright called") == [("Steven Wright", "name")]
+    for plain in ("the Manager Sketched Six Baskets", "we met Quillmere Orchard Festival staff", "contact the Old Mill", "He said so", "New York said no such thing"):
+        assert not got(plain)
+    assert got("four one two six seven three nine eight two one") == [("four one two six seven three nine eight two one", "phone")]
+    assert got("my number AB 12 34 56 C is known") == [("AB 12 34 56 C", "id_number")]
+    assert got("call (212) 555-0123 ext. 4, or +44 20 7946 0958") == [("(212) 555-0123 ext. 4", "phone"), ("+44 20 7946 0958", "phone")]

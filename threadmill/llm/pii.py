@@ -1,10 +1,11 @@
 """Personal information inside free text, replaced by typed placeholders.
 
 Anchor expansion. One Aho-Corasick pass over a text finds at-signs, schemes and
-cues (identifier words, street words, titles, given names); at each anchor a
-deterministic local parser reads outwards, validates what it finds and gives
-its exact boundaries. Digit runs are anchors of their own. Overlapping findings
-are settled by kind and length.
+cues (identifier words, street words, titles, given names, number words),
+digits and full stops; at each anchor a deterministic local parser reads
+outwards, validates what it finds and gives its exact boundaries. Nothing is
+searched for away from an anchor. Overlapping findings are settled by kind and
+length.
 """
 
 from __future__ import annotations
@@ -89,6 +90,15 @@ NAME_CUES = (
     "m’appelle", "s’appelle", "mon nom est", "me llamo", "mi nombre es",
 )
 
+# Words after which a full name stands, and words that follow one.
+PERSON_CUES = (
+    "contact", "email", "phone", "meet", "met", "meeting", "colleague", "neighbour", "landlord", "lawyer", "doctor", "teacher",
+    "boss", "manager", "supervisor", "coach", "named", "called", "sincerely", "regards",
+)
+# Words that begin the name of a place.
+PLACE_WORDS = set("new old great north south east west saint san los las lake mount port fort united royal".split())
+SAYING = ("wrote", "said", "says", "lives at", "lives in", "works at", "works for", "'s phone", "'s email", "'s number", "’s number")
+
 _SP = r"[^\S\n]*\r?\n?[^\S\n]*"  # white space without an empty line
 _GAP = r"(?:[^\S\n]+|[^\S\n]*\r?\n[^\S\n]*)"
 
@@ -99,7 +109,13 @@ _EMAIL = re.compile(
     rf"[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?(?:{_DOT}[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?)*(?P<dot>{_DOT})[a-z]{{2,}}(?![\w@])"
 )
 
-_DIGIT = re.compile(r"\d")
+#: Characters that a mailbox and a domain may have, with room for spelled-out signs.
+LOCAL_PART, DOMAIN = 160, 320
+#: Characters before an anchor in which the beginning of its form is looked for.
+LEAD = 24
+_SIGN_BEFORE = re.compile(rf"(?:\+{_SP})?\(?$|(?:\+?1(?:[.\-/]|{_SP}))?\(?$")
+_PAIR_BEFORE = re.compile(r"[A-Za-z]{2}\s{0,2}$")
+_PLUS_BEFORE = re.compile(r"(?i)\bplus\s+$")
 _SEP = rf"(?:[.\-/]|{_SP})"
 _PHONE = re.compile(
     rf"(?<![\w.])(?:"
@@ -226,6 +242,13 @@ class Finder:
             cues.setdefault(cue, []).append(("name_cue", cue))
         for cue in NUMBER_WORDS:
             cues.setdefault(cue, []).append(("number_word", cue))
+        for cue in PERSON_CUES:
+            cues.setdefault(cue, []).append(("person", cue))
+        for cue in SAYING:
+            cues.setdefault(cue, []).append(("saying", cue))
+        for cue in "0123456789":
+            cues.setdefault(cue, []).append(("digit", cue))
+        cues.setdefault(".", []).append(("stop", "."))
         for cue, uses in cues.items():
             auto.add_word(cue, (len(cue), tuple(uses)))
         auto.make_automaton()
@@ -238,7 +261,10 @@ class Finder:
         for last, (length, uses) in self.auto.iter(low):
             start, end = last - length + 1, last + 1
             for use, what in uses:
-                if use not in ("at", "street_end", "number_word") and (
+                if use == "digit":
+                    if start and low[start - 1].isdecimal():
+                        continue  # within a run of digits, whose first is the anchor
+                elif use not in ("at", "street_end", "number_word", "stop") and (
                     (start and (low[start - 1].isalnum() or low[start - 1] == "_"))
                     or (end < size and (low[end].isalnum() or low[end] == "_"))
                 ):
@@ -256,16 +282,17 @@ class Finder:
             found += self._emails(text, at["at"])
         if "street" in at or "street_start" in at or "street_end" in at:
             found += self._addresses(text, low, at)
-        digit = _DIGIT.search(text)
-        if "id" in at and digit:
-            found += self._ids(text, at["id"])
-        if digit:
-            found += self._phones(text, found)
-            found += [(m.start(), m.end(), "id_number") for m in _SSN.finditer(text) if _dashed(m[0])]
-            found += [(m.start(), m.end(), "id_number") for m in _NINO.finditer(text) if _insurance_prefix(m[0])]
+        digits = [start for start, _, _ in at.get("digit", ())]
+        if digits:
+            if "id" in at:
+                found += self._ids(text, at["id"])
+            found += self._phones(text, digits, found)
+            found += [(m.start(), m.end(), "id_number") for m in _at(_SSN, text, digits) if _dashed(m[0])]
+            found += [(m.start(), m.end(), "id_number") for m in _at(_NINO, text, digits, _PAIR_BEFORE) if _insurance_prefix(m[0])]
         # A spelled-out phone number has seven digits at least.
-        if len(at.get("number_word", ())) >= SPELLED_DIGITS:
-            found += [(m.start(), m.end(), "phone") for m in _SPELLED.finditer(text)]
+        words = [start for start, _, _ in at.get("number_word", ())]
+        if len(words) >= SPELLED_DIGITS:
+            found += [(m.start(), m.end(), "phone") for m in _at(_SPELLED, text, words, _PLUS_BEFORE)]
         kept = settle(found)
         names = self._names(text, low, at)
         if names:
@@ -278,7 +305,7 @@ class Finder:
         for start, end, _ in anchors:
             if start < done:
                 continue
-            at, stop = max(done, start - 120, 0), min(len(text), end + 160)
+            at, stop = max(done, start - LOCAL_PART, 0), min(len(text), end + DOMAIN)
             while m := _EMAIL.search(text, at, stop):
                 if m["at"].strip().lower() == "at" and m["dot"] == ".":
                     at = m.end("at")  # "meet at example.com": a place, not a mailbox
@@ -330,9 +357,9 @@ class Finder:
         return out
 
     @staticmethod
-    def _phones(text: str, found) -> list[tuple[int, int, str]]:
+    def _phones(text: str, digits: list[int], found) -> list[tuple[int, int, str]]:
         out = []
-        for m in _PHONE.finditer(text):
+        for m in _at(_PHONE, text, digits, _SIGN_BEFORE):
             digits = sum(c.isdigit() for c in m[0])
             if 8 <= digits <= 18 and not any(
                 a <= m.start() and m.end() <= b for a, b, k in found if k == "id_number"
@@ -371,7 +398,8 @@ class Finder:
             if text[start - 1 : start] == "'" or (title.islower() and _case(m["surname"]) != "lower"):
                 continue
             out.append((start, m.end(), "name"))
-        for m in _INITIAL.finditer(text):
+        initials = [start - 1 for start, _, _ in at.get("stop", ()) if start and text[start - 1].isupper()]
+        for m in _at(_INITIAL, text, initials):
             if (
                 m["initial"].isupper()
                 and _case(m["surname"]) == "title"
@@ -383,9 +411,23 @@ class Finder:
             m = _TWO_NAMES.match(text, end)
             if m and _case(m["given"]) == "title" and m["given"].lower() not in NOT_SURNAMES and _case(m["surname"]) == "title" and is_surname(m["surname"], "Xx"):
                 out.append((m.start("given"), m.end(), "name"))
+        for start, end, _ in at.get("person", ()):
+            # In a text with all words capitalised a capital tells no name.
+            m = None if text[start].isupper() else _TWO_NAMES.match(text, end)
+            while m and _full_name(m) and not _CAPITAL_NEXT.match(text, m.end()):
+                out.append((m.start("given"), m.end(), "name"))
+                link = _NEXT_PERSON.match(text, m.end())
+                m = link and _TWO_NAMES.match(text, link.end())
+        for start, _, _ in at.get("saying", ()):
+            m = _NAMES_BEFORE.search(text, max(0, start - 60), start)
+            if m and _full_name(m):
+                out.append((m.start("given"), m.end("surname"), "name"))
         return out
 
 
+_CAPITAL_NEXT = re.compile(r"[^\S\n]+[A-ZÀ-Ý]")
+_NEXT_PERSON = re.compile(r"(?:,|[^\S\n]+(?:and|or|und|oder|et|ou|y|o))(?=\s)")
+_NAMES_BEFORE = re.compile(rf"(?:^|[.!?,;:)\n]\s*|\b[^\W\d_]*[^\W\d_A-ZÀ-Ý]\s+)(?P<given>{_PART}(?:-{_PART})?)(?:{_GAP}[^\W\d_]\.)?{_GAP}(?P<surname>{_PART}(?:-{_PART})*?)(?={_GAP}$|$)")
 _PLACE_BEFORE = re.compile(r"(?i)(?:\b(?:on|in|at|off|along|down|up|to|from|near|the|of)|\d)\s+$")
 _UNIT_BEFORE = re.compile(r"(?i)\b(?:unit|apt\.?|flat|suite|vitamin|plan|section|type|class|\w\.)\s*$")
 
@@ -408,6 +450,32 @@ def _listed(text: str, start: int, end: int, forms) -> list[tuple[int, int]]:
     return out
 
 
+def _full_name(m: re.Match) -> bool:
+    """Whether two words beside a cue are a first name, which need not be listed, and a surname."""
+    given, surname = m["given"], m["surname"]
+    return (
+        _case(given) == _case(surname) == "title"
+        and len(given) > 2
+        and not any(p in NOT_SURNAMES or p in PLACE_WORDS for p in given.lower().split("-"))
+        and is_surname(surname, "Xx")
+    )
+
+
+def _at(form: re.Pattern, text: str, anchors: list[int], lead: re.Pattern | None = None) -> Iterator[re.Match]:
+    """Matches of a form that begin at an anchor, or at what may stand before it, without overlaps."""
+    done = 0
+    for at in anchors:
+        if at < done:
+            continue
+        m = None
+        if lead and (before := lead.search(text, max(done, at - LEAD), at)):
+            m = form.match(text, before.start())
+        m = m or form.match(text, at)
+        if m and m.start() >= done:
+            yield m
+            done = m.end()
+
+
 def _dashed(number: str) -> bool:
     return number.count("-") == 2
 
