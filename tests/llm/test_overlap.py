@@ -87,6 +87,32 @@ def test_against_all_pairs(spark):
     assert got == want and len(want) > 20
 
 
+def test_one_phrase_in_half_of_all_texts(spark):
+    """A phrase that half of the texts hold is chosen as a segment by many; with several rounds and salts no link is lost."""
+    rng = random.Random(8)
+    phrase = "please read the rules before you post here again".split()
+    texts = {}
+    for i in range(240):
+        text = words(rng, rng.choice([3, 4, 6, 12, 30]))
+        if i % 2:
+            at = rng.randrange(len(text) + 1)
+            text = text[:at] + phrase + text[at:]
+        texts[i] = text
+        if i % 4 == 1:
+            texts[1000 + i] = edited(rng, text, rng.randrange(0, len(text) // 4 + 1))
+    rows = [(i, "train" if i < 1000 and i % 8 != 3 else "test", " ".join(t), None) for i, t in texts.items()]
+    texts = {i: t for i, t in texts.items() if len("".join(t)) >= 20}
+    want = {
+        (e, t) for e, se, _, _ in rows for t, st_, _, _ in rows
+        if se == "test" and st_ == "train" and e in texts and t in texts
+        and distance(texts[e], texts[t]) <= max(len(texts[e]), len(texts[t])) // 5
+    }
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    for size in ({}, {"round_words": 400, "hot_key": 9}):
+        got = {(r.eval_id, r.train_id) for r in overlap_pairs(*cross_split_overlaps(df, **size)).collect()}
+        assert got == want and len(want) > 40
+
+
 def test_copies_fields_and_edges(spark):
     a = "this sentence is long enough to count as a text"
     fields = "Goal: paint the shed | Cost: two hundred coins"

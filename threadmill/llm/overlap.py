@@ -8,12 +8,18 @@ word triples that are rarest in the training texts are chosen, by dynamic
 programming over a count sketch of all training triples. Training triples are
 matched to them by key and allowed position; a bit signature of the words
 refutes most other matches; a banded dynamic program decides the rest.
+
+The keys are taken in rounds, a range of hashes each, so that the disk holds
+the triples of one range at a time, even where every training triple meets a
+segment. A key that many training texts hold is salted: its triples are dealt
+out over several keys, its segments repeated for each.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,16 +30,26 @@ from pyspark.sql import functions as F
 
 from threadmill.llm.canonical import FIELD_BREAK, MIN_LETTERS
 from threadmill.llm.components import connected_components
-from threadmill.runtime import shuffles_removed, task_count, write_shared
+from threadmill.runtime import drop_shared, shuffles_removed, write_shared
 
 #: Edits allowed for each word of the longer text.
 MAX_RATIO = 0.2
 #: Cells of the count sketch of training segments, fixed: 4 MB.
 SKETCH_BITS = 20
-#: Bits of the filter of places of evaluation segments: three for each character, within these.
-FILTER_BITS = (20, 26)
-#: Bits of the filter of forms that occur in candidate pairs.
-FORM_BITS = 22
+#: Bits of a round's filter of places of evaluation segments: about eight for each
+#: place, within these (the larger is 32 MB). A fuller one lets more triples pass.
+FILTER_BITS = (16, 28)
+#: Key ranges that are joined one after the other, fewer below so many words of training texts each.
+ROUNDS = 4
+ROUND_WORDS = 1 << 22
+#: Words of training texts whose triples one task of the join gets.
+TASK_WORDS = 1 << 18
+#: Training triples with one key, by the sketch, that one task of the join may get.
+HOT_KEY = 1 << 17
+#: Forms that a task remembers to leave out copies, before it starts anew; later steps drop the rest.
+REMEMBERED = 1 << 18
+#: Bits of the filter of forms that occur in candidate pairs: eight for each pair, within these.
+FORM_BITS = (16, 28)
 #: Words above which the signature has 256 bits instead of 128.
 LONG_TEXT = 96
 #: Segments have three words; texts shorter than this have segments of two.
@@ -95,7 +111,7 @@ def wide_signatures(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 class _Fresh:
-    """Keeps the rows of a partition whose form was not seen in it before."""
+    """Keeps the rows of a partition whose form is not among the last ones seen in it."""
 
     def __init__(self):
         self.seen: set[int] = set()
@@ -103,6 +119,8 @@ class _Fresh:
     def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_pylist()
         keep = []
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
         for i in ids:
             keep.append(i not in self.seen)
             self.seen.add(i)
@@ -179,7 +197,7 @@ def rarest_segments(cost: np.ndarray, size: int, need: int) -> np.ndarray:
     return out
 
 
-def _cut_segments(sketch, bits: int):
+def _cut_segments(sketch, bits: int, hot_key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh, cells = _Fresh(), np.frombuffer(sketch.value, np.int32)
         for batch in batches:
@@ -208,13 +226,18 @@ def _cut_segments(sketch, bits: int):
                     paid = np.take_along_axis(cost, start, 1)
                     rank = paid.argsort(axis=1, kind="stable").argsort(axis=1)
                     who = np.repeat(rows, need)
+                    # A hot key comes once for each of its salts.
+                    copies = key_salts(paid.ravel(), hot_key)
+                    one = np.repeat(np.arange(len(who)), copies)
+                    salt_of = np.arange(len(one)) - np.repeat(np.cumsum(copies) - copies, copies)
+                    chosen = np.take_along_axis(key, start, 1).ravel()[one]
                     cols = [
-                        pa.array(np.take_along_axis(key, start, 1).ravel().view(np.int64)),
-                        pa.array(ids[who]),
-                        pa.array(start.ravel().astype(np.int32)),
-                        pa.array(np.full(len(who), n, np.int32)),
-                        pa.array(rank.ravel().astype(np.int32)),
-                        *[pa.array(sig[who, j]) for j in range(4)],
+                        pa.array(salted(chosen, salt_of).view(np.int64)),
+                        pa.array(ids[who[one]]),
+                        pa.array(start.ravel()[one].astype(np.int32)),
+                        pa.array(np.full(len(one), n, np.int32)),
+                        pa.array(rank.ravel()[one].astype(np.int32)),
+                        *[pa.array(sig[who[one], j]) for j in range(4)],
                     ]
                     yield pa.RecordBatch.from_arrays(cols, _SEGMENT_COLUMNS)
 
@@ -227,6 +250,21 @@ _SEGMENT = (
 _SEGMENT_COLUMNS = [c.split()[0] for c in _SEGMENT.split(", ")]
 
 
+def key_salts(count: np.ndarray, hot_key: int) -> np.ndarray:
+    """Into how many keys a key is cut that so many training texts hold, at most 2^20."""
+    return np.minimum(count.astype(np.int64) // hot_key + 1, 1 << 20)
+
+
+def salted(key: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """The salt above the 40 bits of a key."""
+    return key + (salt.astype(np.uint64) << np.uint64(40))
+
+
+def key_round(key: np.ndarray, rounds: int) -> np.ndarray:
+    """The round of a key, salted or not."""
+    return ((key >> np.uint64(20)) & np.uint64((1 << 20) - 1)) % np.uint64(rounds)
+
+
 def place_buckets(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Coarse position and length: steps of eight words, and of a fifth of the length."""
     return at >> 3, np.floor(np.log(np.maximum(n, 1)) / np.log(1.2)).astype(np.int64)
@@ -247,17 +285,17 @@ def filter_slots(place: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(place >> np.uint64(shift)) & mask for shift in (0, 19, 38)]
 
 
-def _mark_places(sketch, sketch_bits: int, bits: int):
+def _mark_places(bits: int):
     """Filter bits of the places where a training text may hold a segment.
 
     A task keeps the whole filter and gives it in 64 parts of fixed size.
     """
-    cut = _cut_segments(sketch, sketch_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(1 << (bits - 6), np.uint64)
-        for batch in cut(batches):
-            key, at, n, rank = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 2, 3, 4))
+        for batch in batches:
+            key, at, n, rank = (batch.column(i).to_numpy().astype(np.int64) for i in range(4))
+            key &= (1 << 40) - 1
             shortest, longest = n - n // 5, n + n // 4
             low, high = place_buckets(at, shortest)[1], place_buckets(at, longest)[1]
             for d in range(int((high - low).max(initial=0)) + 1):
@@ -294,9 +332,12 @@ def _or_cells(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [pdf["part"].iloc[0]], "cells": [total.tobytes()]})
 
 
-def _match_grams(filter_words, bits: int):
+def _match_grams(filter_words, bits: int, sketch, sketch_bits: int, hot_key: int, turn: int, rounds: int):
+    """Training triples of the keys of one round that the filter lets pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh, words = _Fresh(), np.frombuffer(filter_words.value, np.uint64)
+        cells = np.frombuffer(sketch.value, np.int32)
         for batch in batches:
             batch = fresh(batch)
             if not batch.num_rows:
@@ -313,12 +354,16 @@ def _match_grams(filter_words, bits: int):
                 ok = (lengths[row] >= low) & (lengths[row] <= high)
                 start, row = start[ok], row[ok]
                 key = gram_keys(hashes, size, salt)[start]
+                own = key_round(key, rounds) == turn
+                key, start, row = key[own], start[own], row[own]
                 at = start - offsets[row]
                 place = place_keys(key, *place_buckets(at, lengths[row]))
                 hit = np.ones(len(place), bool)
                 for slot in filter_slots(place, bits):
                     hit &= (words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
                 at, row, key = at[hit], row[hit], key[hit]
+                salts = key_salts(cells[(key & np.uint64((1 << sketch_bits) - 1)).astype(np.int64)], hot_key)
+                key = salted(key, ids[row].view(np.uint64) % salts.astype(np.uint64))
                 cols = [
                     pa.array(key.view(np.int64)),
                     pa.array(ids[row]),
@@ -353,7 +398,7 @@ def _mark_forms(bits: int):
 
 
 def _only(marked, bits: int, columns: list[str]):
-    """Distinct texts whose form may be marked: a filter of 512 KB, so that few others move.
+    """Distinct texts whose form may be marked, so that few others move.
 
     With three columns the class and the text come out, else its length and wide signature.
     """
@@ -481,7 +526,7 @@ def _unlike(ours: str, theirs: str) -> Column:
 
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(FIELD_BREAK)
-_TEXT = "class long, field int, words string, id long, is_train boolean, listed long, form long"
+_TEXT = "class binary, field int, words string, id long, is_train boolean, listed long, form long"
 _TEXT_COLUMNS = [c.split()[0] for c in _TEXT.split(", ")]
 
 
@@ -526,15 +571,18 @@ def _read_texts(train: str, tests: list[str], count: int):
                 lists = np.zeros(len(listed), np.int64)
                 if any(hashed):
                     lists[hashed] = _hash64([h for h in listed if h is not None])
-                classes, forms = _hash64(flat), _hash64(spaced)
-                # Of the copies of a word sequence in a task and side the first keeps its words.
+                classes, forms = _hash128(flat), _hash64(spaced)
+                # Of the copies of a word sequence in a task and side the first keeps its words,
+                # as far as the task remembers.
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 for k, key in enumerate(zip(forms.tolist(), side, strict=True)):
                     if key in seen:
                         words[k] = None
                     seen.add(key)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(classes),
+                        classes,
                         pa.array(np.full(len(words), field, np.int32)),
                         pa.array(words, pa.string()),
                         pa.array(who, pa.int64()),
@@ -554,6 +602,16 @@ def _hash64(texts: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(texts, object), categorize=False).view(np.int64)
 
 
+def _hash128(texts: list[str]) -> pa.Array:
+    """Sixteen bytes for each text, by which texts count as equal: two hashes of different keys."""
+    if not texts:
+        return pa.array([], pa.binary())
+    flat = np.array(texts, object)
+    parts = [pd.util.hash_array(flat, hash_key=k, categorize=False) for k in ("0123456789123456", "threadmillsecond")]
+    raw = np.stack(parts, axis=1).tobytes()
+    return pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())
+
+
 def _texts(df: DataFrame, fields: list[str], id_col: str, split_col: str, train: str, tests: list[str]):
     role = F.lower(F.trim(F.col(split_col)))
     rows = df.select(
@@ -572,84 +630,95 @@ def _gather(parts: DataFrame, merge) -> bytes:
     return b"".join(bytes(r.cells) for r in sorted(rows, key=lambda r: r.part))
 
 
-def near_classes(texts: DataFrame, eval_chars: int) -> DataFrame:
-    """``(eval_class, train_class, edits)`` of near-same, not equal, word sequences.
+def near_classes(
+    texts: DataFrame, eval_chars: int, train_chars: int, round_words: int = ROUND_WORDS, hot_key: int = HOT_KEY
+) -> tuple[DataFrame, DataFrame]:
+    """``(eval_class, train_class, edits)`` of near-same, not equal, word sequences, and a table to drop when it is read.
 
     ``texts`` is what :func:`cross_split_overlaps` writes: one row for each
     text, with the class of equal texts it belongs to and its form, the word
     sequence; copies of a form may lack words. Texts of a class may be spaced
     in several ways, so forms are compared, and a pair of classes comes once
-    for each near pair of their forms. ``eval_chars`` are the characters of the
-    evaluation texts, by which the filter is sized.
+    for each near pair of their forms. By the characters of the evaluation and
+    training texts the filter, the rounds and the tasks of the join are sized.
     """
     spark = texts.sparkSession
     context = spark.sparkContext
-    width = task_count(spark)
     worded = texts.where("words is not null")
     train = worded.where("is_train").select("form", "field", "words", "class")
     evals = worded.where("not is_train").select("form", "field", "words", "class")
     sketch = context.broadcast(
-        _gather(train.coalesce(max(1, width // 2)).mapInArrow(_count_grams(SKETCH_BITS), _PARTS), _add_cells) or bytes(4 << SKETCH_BITS)
+        _gather(train.mapInArrow(_count_grams(SKETCH_BITS), _PARTS), _add_cells) or bytes(4 << SKETCH_BITS)
     )
-    segments = evals.mapInArrow(_cut_segments(sketch, SKETCH_BITS), _SEGMENT)
-    # About one segment for each four words, of about six characters. A sixth
-    # of the usual tasks, since each gives a filter of the whole size.
-    bits = min(max(FILTER_BITS[0], (eval_chars * 3).bit_length()), FILTER_BITS[1])
-    fewer = evals.coalesce(max(1, width // 6))
-    marks = fewer.mapInArrow(_mark_places(sketch, SKETCH_BITS, bits), _PARTS)
-    passed = context.broadcast(_gather(marks, _or_cells) or bytes(1 << (bits - 3)))
-    grams = train.mapInArrow(_match_grams(passed, bits), _GRAM)
-    # Forms that occur in several input partitions are reduced to one after
-    # the exchange that the join needs anyway.
-    left = segments.repartition(width, "key").dropDuplicates(["key", "eval_form", "eval_at"])
-    right = grams.repartition(width, "key").dropDuplicates(["key", "train_form", "train_at"])
+    segments = write_shared(evals.mapInArrow(_cut_segments(sketch, SKETCH_BITS, hot_key), _SEGMENT), "segments")
+    train_words = train_chars // 6
+    rounds = min(ROUNDS, train_words // round_words + 1)
+    # About one segment for each four words, five places for a segment, eight bits for a place.
+    bits = min(max(FILTER_BITS[0], (eval_chars * 2 // rounds).bit_length()), FILTER_BITS[1])
+    tasks = max(1, -(-train_words // (rounds * TASK_WORDS)))
+    turn_of = F.pmod(F.shiftright("key", 20).bitwiseAND((1 << 20) - 1), F.lit(rounds))
     allowed = F.floor(F.greatest("n", "m") / 5)
     shift, grown = F.col("train_at") - F.col("eval_at"), F.col("m") - F.col("n")
-    pairs = (
-        left.join(right, "key")
-        .where(
-            (F.col("eval_form") != F.col("train_form"))
-            & (F.abs(grown) <= allowed)
-            & (F.col("rank") <= allowed)
-            & (F.abs(shift) + F.abs(grown - shift) <= allowed)
-            & (_unlike("e", "t") <= allowed)
-            & (_unlike("t", "e") <= allowed)
-        )
-        .select("eval_form", "train_form")
-        .distinct()
+    near = (
+        (F.col("eval_form") != F.col("train_form"))
+        & (F.abs(grown) <= allowed)
+        & (F.col("rank") <= allowed)
+        & (F.abs(shift) + F.abs(grown - shift) <= allowed)
+        & (_unlike("e", "t") <= allowed)
+        & (_unlike("t", "e") <= allowed)
     )
-    # Pairs of ids are small against the texts; they are written once, mark the
-    # texts that are wanted and then meet them.
-    pairs = write_shared(pairs, "pairs")
+    found = []
+    for turn in range(rounds):
+        own = segments.where(turn_of == turn)
+        marks = own.select("key", "eval_at", "n", "rank").mapInArrow(_mark_places(bits), _PARTS)
+        passed = context.broadcast(_gather(marks, _or_cells) or bytes(1 << (bits - 3)))
+        grams = train.mapInArrow(_match_grams(passed, bits, sketch, SKETCH_BITS, hot_key, turn, rounds), _GRAM)
+        # Forms that occur in several input partitions are reduced to one after
+        # the exchange that the join needs anyway.
+        left = own.repartition(tasks, "key").dropDuplicates(["key", "eval_form", "eval_at"])
+        right = grams.repartition(tasks, "key").dropDuplicates(["key", "train_form", "train_at"])
+        pairs = left.join(right, "key").where(near).select("eval_form", "train_form").distinct()
+        # Pairs of ids are small against the texts; they are written, mark the
+        # texts that are wanted and then meet them.
+        found.append(write_shared(pairs, "pairs"))
+        passed.destroy()
+    drop_shared(segments)
     sketch.destroy()
-    passed.destroy()
+    pairs = reduce(DataFrame.unionAll, found).distinct() if rounds > 1 else found[0]
+
+    def form_bits(pairs: int) -> int:
+        return min(max(FORM_BITS[0], (pairs * 8).bit_length()), FORM_BITS[1])
 
-    def wanted(pairs: DataFrame, side: DataFrame, pair_column: str, kinds: dict[str, str]) -> DataFrame:
-        marks = pairs.select(pair_column).mapInArrow(_mark_forms(FORM_BITS), _PARTS)
-        shared = context.broadcast(_gather(marks, _or_cells) or bytes(1 << (FORM_BITS - 3)))
+    def wanted(pairs: DataFrame, bits: int, side: DataFrame, pair_column: str, kinds: dict[str, str]) -> DataFrame:
+        marks = pairs.select(pair_column).mapInArrow(_mark_forms(bits), _PARTS)
+        shared = context.broadcast(_gather(marks, _or_cells) or bytes(1 << (bits - 3)))
         columns = {pair_column: "long"} | kinds
         schema = ", ".join(f"{c} {kind}" for c, kind in columns.items())
-        picked = side.mapInArrow(_only(shared, FORM_BITS, list(columns)), schema)
-        return picked.repartition(width, pair_column).dropDuplicates([pair_column])
+        picked = side.mapInArrow(_only(shared, bits, list(columns)), schema)
+        return picked.repartition(tasks, pair_column).dropDuplicates([pair_column])
 
     wide = lambda s, n: {n: "int"} | {f"{s}{j}": "long" for j in range(8)}
+    bits = form_bits(sum(t.count() for t in found))
     close = (
-        pairs.repartition(width, "train_form")
-        .join(wanted(pairs, train, "train_form", wide("t", "m")), "train_form")
-        .repartition(width, "eval_form")
-        .join(wanted(pairs, evals, "eval_form", wide("e", "n")), "eval_form")
+        pairs.repartition(tasks, "train_form")
+        .join(wanted(pairs, bits, train, "train_form", wide("t", "m")), "train_form")
+        .repartition(tasks, "eval_form")
+        .join(wanted(pairs, bits, evals, "eval_form", wide("e", "n")), "eval_form")
         .where((_only_in("e", "t") <= allowed) & (_only_in("t", "e") <= allowed))
         .select("eval_form", "train_form")
     )
     close = write_shared(close, "close")
-    alike = close.repartition(width, "train_form").join(
-        wanted(close, train, "train_form", {"train_class": "long", "train_words": "string"}), "train_form"
+    for table in found:
+        drop_shared(table)
+    bits = form_bits(close.count())
+    alike = close.repartition(tasks, "train_form").join(
+        wanted(close, bits, train, "train_form", {"train_class": "binary", "train_words": "string"}), "train_form"
     )
-    whole = wanted(close, evals, "eval_form", {"eval_class": "long", "eval_words": "string"})
+    whole = wanted(close, bits, evals, "eval_form", {"eval_class": "binary", "eval_words": "string"})
     both = alike.join(whole, "eval_form").where("eval_class <> train_class").select(
         "eval_class", "train_class", "eval_words", "train_words"
     )
-    return both.mapInArrow(_verify, "eval_class long, train_class long, edits int")
+    return both.mapInArrow(_verify, "eval_class binary, train_class binary, edits int"), close
 
 
 def cross_split_overlaps(
@@ -659,6 +728,8 @@ def cross_split_overlaps(
     split_col: str = "split",
     train: str = "train",
     tests: tuple[str, ...] = ("validation", "test"),
+    round_words: int = ROUND_WORDS,
+    hot_key: int = HOT_KEY,
 ) -> tuple[DataFrame, DataFrame]:
     """Overlaps between evaluation and training texts, by class of equal texts.
 
@@ -672,15 +743,18 @@ def cross_split_overlaps(
 
     Null, empty and short texts (fewer than 20 letters and digits) overlap
     nothing; rows with a null id or a split other than the named ones take no
-    part. Repeated rows are repeated members. A table without evaluation or
+    part. The result does not depend on ``round_words`` and ``hot_key``, which
+    set the number of key ranges and of salts. Repeated rows are repeated members. A table without evaluation or
     training rows gives no links. ``field`` is the column's name.
     """
     size = Observation()
     read = _texts(df, list(fields), id_col, split_col, train, list(tests)).observe(
-        size, F.sum(F.when(~F.col("is_train"), F.length("words"))).alias("chars")
+        size,
+        F.sum(F.when(~F.col("is_train"), F.length("words"))).alias("evals"),
+        F.sum(F.when(F.col("is_train"), F.length("words"))).alias("trains"),
     )
     texts = write_shared(read, "texts")
-    near = near_classes(texts, size.get["chars"] or 0)
+    near, close = near_classes(texts, size.get["evals"] or 0, size.get["trains"] or 0, round_words, hot_key)
     field_of = texts.select(F.col("class").alias("eval_class"), "field").distinct()
     near = near.join(field_of, "eval_class")
     sides = texts.groupBy("class", "field").agg(F.bool_or("is_train").alias("t"), F.bool_and("is_train").alias("a"))
@@ -710,7 +784,10 @@ def cross_split_overlaps(
         .select("eval_class", "train_class", names.alias("field"), "edits")
     )
     members = texts.select("class", names.alias("field"), "id", "is_train")
-    return members, write_shared(links, "overlaps")
+    links = write_shared(links, "overlaps")
+    drop_shared(close)
+    drop_shared(groups)
+    return members, links
 
 
 def overlap_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
