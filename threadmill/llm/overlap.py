@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -597,19 +598,12 @@ def _read_texts(train: str, tests: list[str], count: int):
 
 
 def _hash64(texts: list[str]) -> np.ndarray:
-    if not texts:
-        return np.zeros(0, np.int64)
-    return pd.util.hash_array(np.array(texts, object), categorize=False).view(np.int64)
+    return np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
 
 
 def _hash128(texts: list[str]) -> pa.Array:
-    """Sixteen bytes for each text, by which texts count as equal: two hashes of different keys."""
-    if not texts:
-        return pa.array([], pa.binary())
-    flat = np.array(texts, object)
-    parts = [pd.util.hash_array(flat, hash_key=k, categorize=False) for k in ("0123456789123456", "threadmillsecond")]
-    raw = np.stack(parts, axis=1).tobytes()
-    return pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())
+    """Sixteen bytes for each text, by which texts count as equal."""
+    return pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())
 
 
 def _texts(df: DataFrame, fields: list[str], id_col: str, split_col: str, train: str, tests: list[str]):
@@ -673,10 +667,11 @@ def near_classes(
         marks = own.select("key", "eval_at", "n", "rank").mapInArrow(_mark_places(bits), _PARTS)
         passed = context.broadcast(_gather(marks, _or_cells) or bytes(1 << (bits - 3)))
         grams = train.mapInArrow(_match_grams(passed, bits, sketch, SKETCH_BITS, hot_key, turn, rounds), _GRAM)
-        # Forms that occur in several input partitions are reduced to one after
-        # the exchange that the join needs anyway.
+        # Segments of forms that occur in several input partitions are reduced to
+        # one after the exchange that the join needs anyway; triples come at most
+        # once from each partition, and pairs are made distinct.
         left = own.repartition(tasks, "key").dropDuplicates(["key", "eval_form", "eval_at"])
-        right = grams.repartition(tasks, "key").dropDuplicates(["key", "train_form", "train_at"])
+        right = grams.repartition(tasks, "key")
         pairs = left.join(right, "key").where(near).select("eval_form", "train_form").distinct()
         # Pairs of ids are small against the texts; they are written, mark the
         # texts that are wanted and then meet them.
