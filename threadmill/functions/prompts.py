@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,11 +106,11 @@ def _metadata(title: Column, top: Column, age: Column, first: Column) -> Column:
 
 
 def age_in_words(days: Column) -> Column:
-    """Years from 365 days, months from 30, days above 0, else unknown."""
+    """Years from 365 days, months from 30, days above 0, else unknown; halves go to the even digit."""
     return (
-        F.when(days >= 365, F.format_string("%.1f years", days / 365))
-        .when(days >= 30, F.format_string("%.0f months", days / 30))
-        .when(days > 0, F.format_string("%.0f days", days))
+        F.when(days >= 365, F.format_string("%.1f years", F.bround(days / 365, 1)))
+        .when(days >= 30, F.format_string("%.0f months", F.bround(days / 30)))
+        .when(days > 0, F.format_string("%.0f days", F.bround(days)))
         .otherwise("unknown")
     )
 
@@ -167,8 +171,34 @@ def chat(system: Column, user: Column, system_role: bool = True) -> Column:
     return F.array(message("system", system), message("user", user))
 
 
-def chat_text(messages: Column) -> Column:
-    """Default chat template: role and content blocks with an open assistant turn.
-    A model's own template is plugged in as a pandas UDF over the messages."""
+def chat_text(
+    messages: Column, make_template: Callable[[], Callable[[list[dict]], str]] | None = None
+) -> Column:
+    """The messages as one text with an open assistant turn.
+
+    Without a template these are role and content blocks. ``make_template`` is
+    called once in each task and gives a function from a list of messages
+    (``role``, ``content``) to text, such as a tokenizer's own chat template.
+    """
+    if make_template is not None:
+
+        @F.pandas_udf("string")
+        def render(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            template = make_template()
+            for rows in batches:
+                yield rows.map(lambda ms: template([dict(m) for m in json.loads(ms)]), na_action="ignore")
+
+        return render(F.to_json(messages))
     turns = F.transform(messages, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"], F.lit("\n")))
     return F.concat(F.array_join(turns, ""), F.lit("<|assistant|>\n"))
+
+
+def prompt_and_completion(prompt: Column, label: Column, end: str | None = None) -> Column:
+    """``(prompt, completion)`` for training on the completion only.
+
+    After a chat prompt the completion is the answer and the model's ``end``
+    sign; without chat roles, ``end`` null, it is the answer after a space.
+    """
+    answer = F.when(label == "removed", "True").otherwise("False")
+    completion = F.concat(F.lit(" "), answer) if end is None else F.concat(answer, F.lit(end))
+    return F.struct(prompt.alias("prompt"), completion.alias("completion"))

@@ -7,6 +7,10 @@ A null or blank text gives zeros, one paragraph and false.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,6 +135,31 @@ def left_words(text: Column, n: int) -> Column:
     return F.regexp_extract(text, rf"(?s)^[{SPACE}]*(?:[^{SPACE}]+(?:[{SPACE}]+|\z)){{0,{n}}}", 0)
 
 
+def word_and_punctuation_spans() -> Callable[[str], list[tuple[int, int]]]:
+    """A tokenizer of the form :func:`left_tokens` takes: runs of word characters, runs of other signs."""
+    form = re.compile(r"\w+|[^\w\s]+")
+    return lambda text: [m.span() for m in form.finditer(text)]
+
+
+def left_tokens(
+    text: Column, n: int, make_tokenizer: Callable[[], Callable[[str], list[tuple[int, int]]]] = word_and_punctuation_spans
+) -> Column:
+    """The text up to the end of its ``n``-th token; null stays null.
+
+    ``make_tokenizer`` is called once in each task and gives a function from a
+    text to the character spans of its tokens, such as that of a subword
+    vocabulary (``offsets`` of an encoding).
+    """
+
+    @F.pandas_udf("string")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        spans = make_tokenizer()
+        for texts in batches:
+            yield texts.map(lambda t: t[: got[n - 1][1]] if len(got := spans(t)) > n else t, na_action="ignore")
+
+    return cut(text)
+
+
 def text_features(text: Column) -> dict[str, Column]:
     """All features by name."""
     return {

@@ -12,6 +12,7 @@ from threadmill.plans import (  # noqa: F401 - each registers its queries
     source_queries,
     text_queries,
 )
+from threadmill.plans import full_queries  # noqa: E402, F401 - joins the SQL of the others
 from threadmill.plans.metric_queries import flagship
 from threadmill.plans.registry import ORACLES, QUERIES
 

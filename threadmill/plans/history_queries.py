@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadmill.operators import enrich, history, lookups
+from threadmill.operators import enrich, history
 from threadmill.plans import sqltext as S
 from threadmill.plans.registry import ORACLES, query
 from threadmill.runtime import read_table
@@ -83,18 +83,6 @@ def enrich_reply_ratio(spark, sf):
     return enrich.enrich_text(enrich.enrich_context(rows)).select("sample_id", "reply_length_ratio")
 
 
-@query()
-def enrich_full(spark, sf):
-    """Both enrichment steps over the stream with all lookups, the pipeline as one lazy plan."""
-    raw = read_table(spark, sf, "raw_comment")
-    rows = lookups.attach_parent(history.author_history(raw), lookups.parent_index(raw))
-    rows = lookups.attach_title(rows, read_table(spark, sf, "post_title"))
-    rows = lookups.attach_post(rows, read_table(spark, sf, "post_metadata"))
-    rows = lookups.attach_account_age(rows, read_table(spark, sf, "account_age"))
-    done = enrich.enrich_text(enrich.enrich_context(rows))
-    return done.drop("author", "author_flair_text", "author_flair_clean", "_meta")
-
-
 def _curve(spark, sf):
     """Whole values of events by type in time, as loss curves of five runs: sums are exact."""
     ev = read_table(spark, sf, "events").where("value is not null")

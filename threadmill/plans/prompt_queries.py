@@ -73,9 +73,12 @@ def prompt_enriched_api(spark, sf):
     return _rows(spark, sf).select("sample_id", P.enriched_message_api(*cols).alias("message"))
 
 
-@query()
+_AGE = """CASE WHEN account_age_days >= 365 THEN printf('%.1f years', account_age_days / 365) WHEN account_age_days >= 30
+  THEN printf('%.0f months', account_age_days / 30) WHEN account_age_days > 0 THEN printf('%.0f days', account_age_days) ELSE 'unknown' END"""
+
+
+@query(f"""WITH {_BASE} SELECT sample_id, {_meta("coalesce(nullif(post_title, ''), 'unknown')", _AGE)} || {_CTX.format(_q(P.CONTEXT))} || {_COMMENT} AS message FROM r""")
 def prompt_enriched(spark, sf):
-    """Training form; ages are printed with rounding that engines do not share."""
     cols = [F.col(c) for c in ("body", "parent_body", "post_title", "is_top_level", "account_age_days", "author_is_first")]
     return _rows(spark, sf).select("sample_id", P.enriched_message(*cols).alias("message"))
 
@@ -116,6 +119,29 @@ def prompt_chat(spark, sf):
     )
 
 
+def _bracket_template():
+    return lambda messages: "".join(f"[{m['role']}]{m['content']}[/]" for m in messages) + "[assistant]"
+
+
+@query(f"""WITH {_BASE}, m AS (SELECT sample_id, label, {_filled(P.INTRO + P.ASK_ANY + P.ANSWER)} AS a, {_COMMENT} AS b FROM r)
+SELECT sample_id, '[system]' || a || '[/][user]' || b || '[/][assistant]' AS prompt,
+  CASE WHEN label = 'removed' THEN 'True' ELSE 'False' END || '</s>' AS completion FROM m""")
+def prompt_completion(spark, sf):
+    """Prompt by a template of one's own and completion with an end sign."""
+    chat = P.chat(P.system_prompt(F.col("s"), F.lit(""), False), P.user_message(F.col("body"), F.lit("")))
+    pair = P.prompt_and_completion(P.chat_text(chat, _bracket_template), F.col("label"), "</s>")
+    return _rows(spark, sf).select("sample_id", pair.alias("x")).select("sample_id", "x.*")
+
+
+@query(f"""WITH {_BASE} SELECT sample_id, {_filled(P.INTRO + P.RULES + P.ASK_THIS + P.ANSWER)} || chr(10)
+  || CASE WHEN coalesce(parent_body, '') <> '' THEN chr(10) || 'Context (preceding comment): ' || parent_body ELSE '' END
+  || chr(10) || 'Comment: ' || coalesce(body, '') || chr(10) || chr(10) || 'Classification:' AS prompt,
+  CASE WHEN label = 'removed' THEN ' True' ELSE ' False' END AS completion FROM r""")
+def prompt_plain_completion(spark, sf):
+    plain = P.plain_prompt(*[F.col(c) for c in ("s", "rules", "body", "parent_body")])
+    return _rows(spark, sf).select("sample_id", P.prompt_and_completion(plain, F.col("label")).alias("x")).select("sample_id", "x.*")
+
+
 def _answers(spark, sf):
     """Bodies as if a model had written them, some with a verdict before or after."""
     demo = read_table(spark, sf, "demo_sample")

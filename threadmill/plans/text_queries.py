@@ -55,10 +55,7 @@ def text_sentence_count(spark, sf):
 
 
 # Word by word, as the word border of the engine compared with knows ASCII only.
-_PROFANE = (
-    r"(fuck\w*|shit\w*|ass|asshole\w*|bitch\w*|damn\w*|crap|hell|stfu|wtf|lmao|lmfao|idiot\w*|stupid|moron\w*|dumb\w*"
-    r"|troll\w*|die|kys|retard\w*|cringe)"
-).replace(r"\w", r"[\p{L}\p{N}_]")
+_PROFANE = "|".join(p.removeprefix(r"\b").removesuffix(r"\b") for p in T.PROFANITY if p.endswith(r"\b")).replace(r"\w", r"[\p{L}\p{N}_]")
 
 
 @query(rf"""WITH t AS (SELECT sample_id, coalesce(len(list_filter(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}_]+'),
@@ -112,7 +109,18 @@ def text_left_words(spark, sf):
     return _demo(spark, sf, head=T.left_words(F.col("body"), 64))
 
 
-@query()
+@query(rf"""SELECT sample_id, regexp_extract(body, '^(?:[\s\p{{Z}}\x{{1c}}-\x{{1f}}\x{{0b}}\x{{85}}]*(?:[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\p{{Z}}\x{{1c}}-\x{{1f}}\x{{0b}}\x{{85}}]+)){{0,12}}', 0) AS head,
+  CASE WHEN body IS NULL THEN NULL ELSE {S.count('body', r'[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{1c}-\x{1f}\x{0b}\x{85}]+')} > 12 END AS cut FROM demo_sample""")
+def text_left_tokens(spark, sf):
+    """Texts cut after 12 tokens of a tokenizer; where nothing is cut the white space at the end stays and is left out here."""
+    head = T.left_tokens(F.col("body"), 12)
+    got = _demo(spark, sf, head=head, body=F.col("body"))
+    cut = F.col("head") != F.col("body")
+    return got.select("sample_id", F.when(cut, F.col("head")).otherwise(F.regexp_replace("head", rf"[{T.SPACE}]+\z", "")).alias("head"), cut.alias("cut"))
+
+
+@query(rf"""SELECT sample_id, regexp_extract(body, '(?s)^[{S.SPACE}]*(?:[^{S.SPACE}]+(?:[{S.SPACE}]+|\z)){{0,512}}', 0) AS head,
+  regexp_extract(parent_body, '(?s)^[{S.SPACE}]*(?:[^{S.SPACE}]+(?:[{S.SPACE}]+|\z)){{0,256}}', 0) AS parent_head FROM demo_sample""")
 def text_left_words_full(spark, sf):
     """text_left_words with the reference's 512 tokens, and 256 for parents as in training."""
     return _demo(spark, sf, head=T.left_words(F.col("body"), 512), parent_head=T.left_words(F.col("parent_body"), 256))
