@@ -158,7 +158,9 @@ def pack_documents(
     else:
         total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, round(total / (capacity * shard_containers)))
-    placed = rows.repartition(shards, F.xxhash64("id")).mapInPandas(
+    # Rows without an id are spread by their place in the table.
+    spread = F.xxhash64("id", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
+    placed = rows.repartition(shards, spread).mapInPandas(
         _pack_shard(capacity, tokenizer), _ITEM
     )
     placed = write_shared(placed, "packed")

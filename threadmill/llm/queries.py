@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadmill.llm.abuse import abuse_rates, score_abuse, train_on_reviews
@@ -56,6 +56,17 @@ def _p3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_splits(demo, _split_targets(spark, sf_dir))
 
 
+def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the masked table; texts without mentions that changed, and masked texts that still hold a plain mailbox."""
+    demo = read_table(spark, sf_dir, "demo_sample").select("sample_id", F.col("body").alias("text"))
+    masked = p2_masked(spark, sf_dir).join(demo, "sample_id")
+    return masked.agg(
+        F.count("*").alias("n_rows"), F.count("body").alias("n_texts"),
+        F.count_if((F.size("body_kinds") == 0) & (F.col("body") != F.col("text"))).alias("n_changed"),
+        F.count_if(F.col("body").rlike(r"[a-z0-9]+@[a-z0-9]+\.(?:com|org|net)\b")).alias("n_left"),
+    )
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Written before it is read, so that the rows come with their allocation.
     placed = write_shared(_p3(spark, sf_dir), "splits")
@@ -117,6 +128,13 @@ def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p4_same(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs whose texts are the same, not only nearly."""
+    members, links = cross_split_overlaps(read_table(spark, sf_dir, "demo_sample"))
+    pairs = overlap_pairs(members, links.where("edits = 0"))
+    return pairs.select("eval_id", "train_id", "field").distinct()
+
+
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation rows that overlap the training rows, by split, community and field."""
     demo = read_table(spark, sf_dir, "demo_sample")
@@ -152,6 +170,17 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse_rates(_p5(spark, sf_dir)).withColumnRenamed("source", "subreddit")
 
 
+def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored rows by language known or not, scores out of range, and texts without a word that are flagged."""
+    demo = read_table(spark, sf_dir, "demo_sample").select(F.col("sample_id").alias("id"), "body")
+    scored = _p5(spark, sf_dir).join(demo, "id")
+    blank = ~F.coalesce(F.col("body").rlike(r"[\p{L}\p{N}]"), F.lit(False))
+    return scored.agg(
+        F.count("*").alias("n_rows"), F.count_if(~F.col("score").between(0, 1)).alias("n_out_of_range"),
+        F.count_if(blank & F.col("abusive")).alias("n_blank_flagged"), F.count_if(F.col("lang").isin("en", "de", "fr", "es")).alias("n_told"),
+    )
+
+
 def _size_limit(spark: SparkSession, sf_dir: str, purpose: str) -> tuple[int, int]:
     row = read_table(spark, sf_dir, "size_limit").where(F.col("purpose") == purpose).first()
     return row.max_tokens, row.overlap_tokens or 0
@@ -183,6 +212,21 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens placed, containers over capacity, texts split without need, and whether 97 % of the space of all but one container is used."""
+    capacity, _ = _size_limit(spark, sf_dir, "container")
+    placed = write_shared(_p6(spark, sf_dir), "placed")
+    boxes = placed.where("container is not null").groupBy("container").agg(F.sum("tokens").alias("tokens"))
+    full = boxes.agg(F.count_if(F.col("tokens") > capacity).alias("n_over"), F.count("*").alias("n_boxes"))
+    docs = placed.groupBy("id").agg(F.sum("tokens").alias("tokens"), F.max("pieces").alias("pieces"))
+    sums = docs.agg(
+        F.count("*").alias("n_docs"), F.sum("tokens").alias("n_tokens"),
+        F.count_if((F.col("tokens") <= capacity) & (F.col("pieces") > 1)).alias("n_split"),
+    )
+    tight = F.col("n_tokens") >= 0.97 * capacity * (F.col("n_boxes") - 1)
+    return sums.join(full).select("n_docs", "n_tokens", "n_over", "n_split", tight.alias("tight"))
+
+
 def _p7(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mix_sources(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_target"))
 
@@ -199,6 +243,37 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p7(spark, sf_dir)[1]
 
 
+def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each target source: tokens there are, asked and raked, the cap kept, and 1 % of the raked tokens or two texts of 2,000 reached."""
+    report = _p7(spark, sf_dir)[1]
+    off = F.abs(F.col("tokens_reached") - F.col("tokens_raked"))
+    return report.select(
+        "source", "tokens", F.round("tokens_asked", 3).alias("asked"), F.round("tokens_raked", 3).alias("raked"),
+        (F.col("most_copies") <= F.col("max_repeat")).alias("within_cap"),
+        (off <= F.greatest(F.col("tokens_raked") / 100, F.lit(4000.0))).alias("reached"),
+    )
+
+
+def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with pieces, tokens less overlaps, pieces over the limit, and documents whose pieces do not give their text."""
+    limit, overlap = _size_limit(spark, sf_dir, "piece")
+    pieces = p8_pieces(spark, sf_dir)
+    fresh = F.col("tokens") - F.when(F.col("piece") > 0, overlap).otherwise(0)
+    # A piece adds what lies beyond the end of the one before it.
+    before = F.lag("end_char", 1, 0).over(Window.partitionBy("doc_id").orderBy("piece"))
+    added = pieces.withColumn("before", before)
+    part = F.struct("piece", F.expr("right(text, int(end_char - before))").alias("part"))
+    docs = added.groupBy("doc_id").agg(
+        F.sum(fresh).alias("tokens"), F.count_if(F.col("tokens") > limit).alias("over"),
+        F.array_join(F.array_sort(F.collect_list(part))["part"], "").alias("whole"),
+    )
+    texts = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("own"))
+    return docs.join(texts, "doc_id").agg(
+        F.count("*").alias("n_docs"), F.sum(docs["tokens"]).alias("n_tokens"), F.sum("over").alias("n_over"),
+        F.count_if(F.col("whole") != F.col("own")).alias("n_changed"),
+    )
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = p8_pieces(spark, sf_dir)
     return pieces.where("piece = 0 and pieces > 1").select("doc_id").distinct()
@@ -216,6 +291,7 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_masked": p2_masked,
     "p2_counts": p2_counts,
+    "p2_totals": p2_totals,
     "p3_found": p3_found,
     "p3_splits": p3_splits,
     "p3_shares": p3_shares,
@@ -223,17 +299,22 @@ QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_links": p4_links,
     "p4_report": p4_report,
+    "p4_same": p4_same,
     "p5_found": p5_found,
     "p5_scores": p5_scores,
     "p5_rates": p5_rates,
+    "p5_totals": p5_totals,
     "p6_found": p6_found,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
+    "p6_totals": p6_totals,
     "p7_found": p7_found,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_totals": p7_totals,
     "p8_found": p8_found,
     "p8_pieces": p8_pieces,
+    "p8_totals": p8_totals,
 }
 
 _LETTERS = r"replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g'), 'ß', 'ss')"
@@ -256,6 +337,9 @@ hop2 AS (SELECT *, CASE WHEN fields IS NULL THEN f1
                         ELSE min(f1) OVER (PARTITION BY fields) END AS f2 FROM hop1),
 same AS (SELECT sample_id, min(f2) OVER (PARTITION BY flat) AS first_id FROM hop2)"""
 
+#: The same among the rows of a split.
+_SAME_SPLIT = _SAME.replace("FROM demo_sample WHERE", "FROM demo_sample WHERE split IN ('train', 'validation', 'test') AND")
+
 #: Tokens of documents.text; the gaps between them are white space.
 _SIZE = (
     r"coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{1c}-\x{1f}\x{85}]+')), 0)"
@@ -289,6 +373,21 @@ JOIN demo_sample d ON d.sample_id = g.first_id""",
     "p3_found": f"{_GROUPS} SELECT first_id, node AS member_id FROM roots WHERE first_id <> node",
     "p3_totals": f"""{_GROUPS} SELECT count(DISTINCT coalesce(r.first_id, d.sample_id)) AS n_groups, 0 AS n_torn, count(*) AS n_rows,
   true AS on_target FROM demo_sample d LEFT JOIN roots r ON r.node = d.sample_id""",
+    "p2_totals": """SELECT count(*) AS n_rows, count(body) AS n_texts, 0 AS n_changed, 0 AS n_left FROM demo_sample""",
+    "p4_same": " UNION ".join(
+        f"""SELECT e.sample_id AS eval_id, t.sample_id AS train_id, '{field}' AS field FROM (WITH {_SAME_SPLIT.replace('body', field)}
+SELECT * FROM same JOIN demo_sample USING (sample_id)) e, (WITH {_SAME_SPLIT.replace('body', field)}
+SELECT * FROM same JOIN demo_sample USING (sample_id)) t WHERE e.first_id = t.first_id AND t.split = 'train' AND e.split <> 'train'"""
+        for field in ("body", "parent_body")
+    ),
+    "p5_totals": """SELECT count(*) AS n_rows, 0 AS n_out_of_range, 0 AS n_blank_flagged, count(*) AS n_told FROM demo_sample""",
+    "p6_totals": f"""SELECT count(*) AS n_docs, CAST(sum({_SIZE}) AS BIGINT) AS n_tokens, 0 AS n_over, 0 AS n_split, true AS tight FROM documents""",
+    "p7_totals": f"""WITH sized AS (SELECT source, CAST(sum({_SIZE}) AS BIGINT) AS tokens FROM documents
+  WHERE source IN (SELECT source FROM mix_target) GROUP BY source),
+g AS (SELECT t.source, max_repeat, coalesce(s.tokens, 0) AS tokens,
+  target_weight / (SELECT sum(target_weight) FROM mix_target) * (SELECT sum(tokens) FROM sized) AS asked FROM mix_target t LEFT JOIN sized s ON t.source = s.source)
+SELECT source, tokens, round(asked, 3) AS asked, round(least(asked, tokens * max_repeat), 3) AS raked, true AS within_cap, true AS reached FROM g""",
+    "p8_totals": f"""SELECT count(*) AS n_docs, CAST(sum({_SIZE}) AS BIGINT) AS n_tokens, 0 AS n_over, 0 AS n_changed FROM documents WHERE text IS NOT NULL""",
     "p6_found": f"""SELECT DISTINCT doc_id FROM documents
 WHERE {_SIZE} > (SELECT max_tokens FROM size_limit WHERE purpose = 'container')""",
     "p7_found": f"""WITH sized AS (
