@@ -41,7 +41,7 @@ SKETCH_BITS = 20
 #: place, within these (the larger is 32 MB). A fuller one lets more triples pass.
 FILTER_BITS = (16, 28)
 #: Key ranges that are joined one after the other, fewer below so many words of training texts each.
-ROUNDS = 4
+ROUNDS = 3
 ROUND_WORDS = 1 << 22
 #: Words of training texts whose triples one task of the join gets.
 TASK_WORDS = 1 << 18
@@ -664,7 +664,8 @@ def near_classes(
     found = []
     for turn in range(rounds):
         own = segments.where(turn_of == turn)
-        marks = own.select("key", "eval_at", "n", "rank").mapInArrow(_mark_places(bits), _PARTS)
+        # Each task gives a filter of the whole size, so an eighth of the join's tasks mark.
+        marks = own.select("key", "eval_at", "n", "rank").coalesce(max(1, tasks // 8)).mapInArrow(_mark_places(bits), _PARTS)
         passed = context.broadcast(_gather(marks, _or_cells) or bytes(1 << (bits - 3)))
         grams = train.mapInArrow(_match_grams(passed, bits, sketch, SKETCH_BITS, hot_key, turn, rounds), _GRAM)
         # Segments of forms that occur in several input partitions are reduced to
