@@ -1,11 +1,16 @@
+import hashlib
 import random
 from collections import defaultdict
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadmill.operators import dedup, enrich, evaluate, history, lookups, ordered, sampling, scoring
+from tests.oracle import connect, spark_rows, sql_rows
+from threadmill.functions import draws
+from threadmill.operators import dedup, enrich, evaluate, history, lookups, ordered, resample, sampling, scoring
+from threadmill.plans import ORACLES, QUERIES
 
 
 def comments(spark, n=300, seed=2, skewed=False):
@@ -102,6 +107,49 @@ def test_registered_with_the_values_of_the_reference(spark, sf, tmp_path):
     assert QUERIES["sample_reservoir_full"](spark, sf).count() > QUERIES["sample_reservoir"](spark, sf).count()
 
 
+def test_counted_resamples_are_those_of_the_sql(spark, sf):
+    """2,000 resamples by the SQL of five, without a row made for each draw."""
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        """Rows that each stage wrote to a shuffle."""
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = written()
+    got = spark_rows(QUERIES["bootstrap_rows_full"](spark, sf))
+    sql = ORACLES["bootstrap_rows"]
+    assert sql.count("range(1, 6)") == 1 and len(got[1]) > 2000
+    assert got == sql_rows(connect(sf), sql.replace("range(1, 6)", "range(1, 2001)"))
+    assert 0 < max(n for stage, n in written().items() if stage not in before) < 20_000
+
+
+@pytest.mark.parametrize(("held", "kinds"), [(10**9, 3), (0, 3), (2500, 7)])
+def test_counted_resamples_of_pieces(spark, monkeypatch, held, kinds):
+    """Groups of many pieces, of one row and without a name, in one turn or several, against drawn rows."""
+    monkeypatch.setattr(resample, "PIECE", 4)
+    monkeypatch.setattr(resample, "STEP", 16)
+    monkeypatch.setattr(resample, "HELD", held)
+    rng = random.Random(3)
+    rows = [(i, g, rng.randrange(kinds + 1)) for g, n in (("hot", 150), ("b", 13), (None, 9), ("one", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, g string, k int")
+    got = resample.bootstrap_counts(df, ["g"], "id", 30, {f"k{k}": F.col("k") == k for k in range(kinds)}, seed=7).collect()
+    assert len(got) == 4 * 30
+    for row in got:
+        own = [k for _, g, k in rows if g == row.g]
+        drawn = [own[int(hashlib.md5(f"7|{row.run}|{i}".encode()).hexdigest()[:13], 16) % len(own)] for i in range(1, len(own) + 1)]
+        assert list(row)[2:] == [drawn.count(k) for k in range(kinds)]
+
+
+def test_draws_are_md5():
+    for runs, positions in ((range(1, 10), range(1, 10)), (range(95, 100), range(10, 40)), (range(1998, 2001), range(1234567, 1234590))):
+        got = draws.md5_draws(42, np.array(runs), np.array(positions))
+        want = [[int(hashlib.md5(f"42|{r}|{i}".encode()).hexdigest()[:13], 16) for i in positions] for r in runs]
+        assert got.tolist() == want
+    assert [list(map(int, (s[0], s[-1]))) for s in draws.spans(1, 105, 50)] == [[1, 9], [10, 59], [60, 99], [100, 105]]
+
+
 def test_running_totals_of_a_group_with_half_of_the_rows(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice(["hot", "hot", None, "b"]), rng.random()) for i in range(600)]

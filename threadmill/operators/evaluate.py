@@ -16,8 +16,8 @@ from threadmill.functions import metrics as M
 from threadmill.operators.ordered import even_buckets, null_safe, running_totals
 
 
-def confusion(df: DataFrame, by: list[str], strict: bool = True) -> DataFrame:
-    """``tp, fp, tn, fn, unparseable`` of each run: one aggregate, map-side combined.
+def outcomes(strict: bool = True) -> dict[str, Column]:
+    """The conditions of ``tp, fp, tn, fn, unparseable``, of which one holds for a row.
 
     Strictly, everything but ``True`` and ``False`` is unparseable; otherwise
     only null and ``unparseable`` are, and other text counts as a vote to keep.
@@ -29,13 +29,18 @@ def confusion(df: DataFrame, by: list[str], strict: bool = True) -> DataFrame:
         valid = F.coalesce(F.col("prediction").isin("True", "False"), F.lit(False))
     else:
         valid = F.coalesce(F.col("prediction") != "unparseable", F.lit(False))
-    return df.groupBy(*by).agg(
-        F.count_if(valid & yes & positive).alias("tp"),
-        F.count_if(valid & yes & ~positive).alias("fp"),
-        F.count_if(valid & ~yes & ~positive).alias("tn"),
-        F.count_if(valid & ~yes & positive).alias("fn"),
-        F.count_if(~valid).alias("unparseable"),
-    )
+    return {
+        "tp": valid & yes & positive,
+        "fp": valid & yes & ~positive,
+        "tn": valid & ~yes & ~positive,
+        "fn": valid & ~yes & positive,
+        "unparseable": ~valid,
+    }
+
+
+def confusion(df: DataFrame, by: list[str], strict: bool = True) -> DataFrame:
+    """``tp, fp, tn, fn, unparseable`` of each run, see :func:`outcomes`: one aggregate, map-side combined."""
+    return df.groupBy(*by).agg(*[F.count_if(holds).alias(name) for name, holds in outcomes(strict).items()])
 
 
 def scores(df: DataFrame, by: list[str], names: list[str] | None = None, digits: int | None = None) -> DataFrame:

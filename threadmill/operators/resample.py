@@ -11,15 +11,20 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadmill.functions import metrics as M
+from threadmill.functions.draws import md5_draws, spans
 from threadmill.operators.ordered import even_buckets, running_totals
 from threadmill.operators.sampling import drawn_ranks
 
 CELLS = ("tp", "fp", "tn", "fn")
 
+# Of bootstrap_counts: rows in a piece, resamples in a task, bytes of pieces held in it, positions drawn at once.
+PIECE, RUNS_IN_TASK, HELD, STEP = 8192, 25, 64_000_000, 2048
+
 
 def _seeded(*parts) -> np.random.Generator:
     import hashlib
@@ -86,6 +91,99 @@ def bootstrap_by_rows(
     return statistic(draws.hint("merge").join(ranked.drop("_n"), [*by, "_i"]), [*by, "run"])
 
 
+def bootstrap_counts(df: DataFrame, by: list[str], order: str, runs: int, kinds: dict[str, Column], seed: int = 42) -> DataFrame:
+    """``(group, run, <kind>...)``: how many rows of each kind the resamples of :func:`bootstrap_by_rows` draw.
+
+    For statistics of such counts. The draws are the same, every one is made,
+    but no resampled row is: a row is one letter, for the first of ``kinds``
+    that holds, and a task draws from the letters of its resamples' groups. A
+    draw depends on replicate and position, so groups share it. Letters beyond
+    ``HELD`` are read in turns, each of which takes the draws that fall in it.
+    """
+    if len(kinds) > 64:
+        raise ValueError("more than 64 kinds")
+    kind = F.coalesce(*[F.when(holds, F.lit(k)) for k, holds in enumerate(kinds.values())], F.lit(len(kinds)))
+    rows = df.select(*by, order, F.char(kind + 48).alias("_kind"))
+    ranked = running_totals(even_buckets(rows, by, order), by, [order], {"_i": F.lit(1)})
+    pieces = ranked.groupBy(*by, F.floor((F.col("_i") - 1) / PIECE).alias("_piece")).agg(
+        F.max("_i_all").alias("_n"), F.expr("listagg(_kind, '') WITHIN GROUP (ORDER BY _i)").cast("binary").alias("_kinds")
+    )
+    blocks = -(-runs // RUNS_IN_TASK)
+    # A block of resamples is a task; its pieces come in the order of their groups.
+    sent = pieces.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartitionById(blocks, "_block")
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema]
+    return sent.sortWithinPartitions("_block", *by, "_piece").select(*by, "_block", "_piece", "_n", "_kinds").mapInArrow(
+        _counter(by, list(kinds), runs, seed), ", ".join([*schema, "run int", *[f"`{k}` long" for k in kinds]])
+    )
+
+
+def _counter(by: list[str], kinds: list[str], runs: int, seed: int) -> Callable:
+    """Draws for the sorted pieces of a partition, see :func:`bootstrap_counts`."""
+    # Counts of five kinds are summed in one number, in 12 bits each: STEP draws at most.
+    weights = np.zeros((-(-len(kinds) // 5), 256), np.uint64)
+    for k in range(len(kinds)):
+        weights[k // 5, 48 + k] = 1 << 12 * (k % 5)
+
+    def draw(groups: list[dict], first: int, last: int) -> None:
+        for g in groups:
+            g["letters"] = np.frombuffer(b"".join([*g.pop("held"), b"\0"]), np.uint8)  # the last stands for all others
+        for positions in spans(1, max(g["n"] for g in groups), STEP):
+            groups = [g for g in groups if g["n"] >= positions[0]]
+            for block in spans(first, last, RUNS_IN_TASK):
+                draws, at = md5_draws(seed, block, positions), slice(block[0] - first, block[-1] - first + 1)
+                for g in groups:
+                    own = draws[:, : g["n"] - int(positions[0]) + 1] % np.uint64(g["n"])
+                    if len(g["letters"]) <= g["n"]:
+                        own -= np.uint64(g["from"])  # what lies before becomes very large
+                        np.minimum(own, np.uint64(len(g["letters"]) - 1), out=own)
+                    letters = g["letters"].take(own.view(np.int64))
+                    for w, weight in enumerate(weights):
+                        sums = weight.take(letters).sum(axis=1)
+                        for k in range(5 * w, min(5 * w + 5, len(kinds))):
+                            g["counts"][k, at] += (sums >> np.uint64(12 * (k % 5)) & np.uint64(4095)).astype(np.int64)
+
+    def result(groups: list[dict], first: int, last: int, fields: list[pa.Field]) -> pa.RecordBatch:
+        own = np.repeat(np.arange(len(groups)), last - first + 1)
+        keys = [pa.array([g["key"][k] for g in groups], f.type).take(pa.array(own)) for k, f in enumerate(fields)]
+        run = pa.array(np.tile(np.arange(first, last + 1, dtype=np.int32), len(groups)))
+        counts = [pa.array(np.concatenate([g["counts"][k] for g in groups])) for k in range(len(kinds))]
+        return pa.RecordBatch.from_arrays([*keys, run, *counts], names=[*by, "run", *kinds])
+
+    def count(batches):
+        groups, size, now, first, last, fields = [], 0, None, 0, 0, []
+
+        def turn(whole: bool):
+            """Draws for the pieces held; a group of which more may follow keeps its counts."""
+            nonlocal groups, size
+            if groups:
+                draw(groups, first, last)
+                done, open_ = (groups, []) if whole else (groups[:-1], groups[-1:])
+                for lo in range(0, len(done), 256):
+                    yield result(done[lo : lo + 256], first, last, fields)
+                groups = [g | {"from": g["from"] + len(g["letters"]) - 1, "held": []} for g in open_]
+                size = 0
+
+        for batch in batches:
+            fields = [batch.schema.field(k) for k in by]
+            keys = list(zip(*[batch.column(k).to_pylist() for k in by], strict=True))
+            rest = (batch.column(k).to_pylist() for k in ("_block", "_piece", "_n", "_kinds"))
+            for key, block, at, n, letters in zip(keys, *rest, strict=True):
+                if block != now:
+                    yield from turn(True)
+                    now, first, last = block, block * RUNS_IN_TASK + 1, min(runs, (block + 1) * RUNS_IN_TASK)
+                elif size > HELD:
+                    yield from turn(at == 0)
+                if at == 0:
+                    counts = np.zeros((len(kinds), last - first + 1), np.int64)
+                    groups.append({"key": key, "n": n, "from": 0, "held": [], "counts": counts})
+                    size += 1000 + counts.nbytes
+                groups[-1]["held"].append(letters)
+                size += len(letters)
+        yield from turn(True)
+
+    return count
+
+
 def auroc_ci(
     df: DataFrame, by: list[str], runs: int = 1000, level: float = 0.95, seed: int = 42, confidence: str = "confidence"
 ) -> DataFrame:

@@ -174,7 +174,7 @@ def bootstrap_rows(spark, sf):
 def bootstrap_rows_full(spark, sf):
     """bootstrap_rows with the reference's 2,000 resamples."""
     pred = predictions(spark, sf).where("subreddit is not null").select("id", "subreddit", "label", "prediction")
-    return resample.bootstrap_by_rows(pred, ["subreddit"], "id", 2000, lambda d, by: evaluate.confusion(d, by))
+    return resample.bootstrap_counts(pred, ["subreddit"], "id", 2000, evaluate.outcomes())
 
 
 @query()
